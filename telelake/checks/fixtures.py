@@ -14,6 +14,8 @@ from telelake.functions import scalars as S
 from telelake.session import use_utc
 
 BASE_US = 1_704_067_200_000_000  # 2024-01-01 00:00 UTC
+SPAN_US = 30 * 86_400_000_000  # trace dates are folded into thirty days
+SERVICES = 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+def folded(column: str) -> Column:
+    return F.lit(BASE_US) + micros(column) % SPAN_US
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Timestamps as microsecond integers, also inside arrays of structs."""
     out = []
@@ -55,12 +61,12 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
         "value",
         "props",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        F.concat(F.lit("svc-"), F.col("user_id")).alias("service"),
+        text("svc-«u»", u=F.col("user_id") % SERVICES).alias("service"),
     )
 
 
-E = """e AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, props,
-  CAST(regexp_extract(props, '-?[0-9]+') AS BIGINT) AS k, 'svc-' || user_id AS service FROM events)"""
+E = f"""e AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, props,
+  CAST(regexp_extract(props, '-?[0-9]+') AS BIGINT) AS k, 'svc-' || (user_id % {SERVICES}) AS service FROM events)"""
 
 
 # --- staged deployments: a fifth of the lines are broken in two ways, some in an unknown file
@@ -347,7 +353,7 @@ def item_key(tail: str) -> Column:
 def span_lines(spark: SparkSession, sf: str) -> DataFrame:
     o = F.col("o_orderkey")
     elsewhere = F.when(F.col("o_orderstatus") == "P", o + (1 << 50)).otherwise(o)
-    start = micros("o_orderdate") * 1000
+    start = folded("o_orderdate") * 1000
     root = text(
         '{"SpanBatch":{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":'
         '{"stringValue":"orders"}}]},"scopeSpans":[{"spans":[{"traceId":"«t»","spanId":"«s»","name":"order",'
@@ -362,8 +368,8 @@ def span_lines(spark: SparkSession, sf: str) -> DataFrame:
     roots = table(spark, sf, "orders").select(root.alias("value"), F.lit("traces.jsonl").alias("file"))
 
     number, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
-    begin = micros("l_shipdate") * 1000 + 999
-    end = micros("l_shipdate") * 1000 + (number - 4) * quantity * 1_500_000_000
+    begin = folded("l_shipdate") * 1000 + 999
+    end = folded("l_shipdate") * 1000 + (number - 4) * quantity * 1_500_000_000
     code = F.when(number == 4, 9).otherwise(S.lookup(F.col("l_returnflag"), {"N": 0, "A": 1}, F.lit(2)))
     message = F.when(F.col("l_returnflag") == "R", "returned").otherwise("")
     status = F.when(number == 3, "").otherwise(text('"status":{"code":«c»,"message":"«m»"},', c=code, m=message))
@@ -405,13 +411,13 @@ def span_lines(spark: SparkSession, sf: str) -> DataFrame:
 _ITEM_KEY = """left(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT),
   CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT),
   CAST(round(l_tax * 100) AS BIGINT), l_returnflag, epoch_us(l_shipdate), '{tail}')), 16)"""
-P = f"""i AS (SELECT *, epoch_us(l_shipdate) AS us, CAST(l_quantity AS BIGINT) AS q,
+P = f"""i AS (SELECT *, {BASE_US} + epoch_us(l_shipdate) % {SPAN_US} AS us, CAST(l_quantity AS BIGINT) AS q,
   {_ITEM_KEY.format(tail="item")} AS item_id, {_ITEM_KEY.format(tail="handover")} AS handover_id,
   lpad(lower(to_hex(l_orderkey)), 32, '0') AS trace_id,
   lpad(lower(to_hex(l_orderkey + 1099511627776)), 16, '0') AS root_id FROM lineitem),
 p AS (SELECT lpad(lower(to_hex(CASE WHEN o_orderstatus = 'P' THEN o_orderkey + 1125899906842624 ELSE o_orderkey END)), 32, '0') AS trace_id,
   lpad(lower(to_hex(o_orderkey + 1099511627776)), 16, '0') AS span_id, CAST(NULL AS VARCHAR) AS parent_span_id,
-  'order' AS name, 'SERVER' AS kind, epoch_us(o_orderdate) AS start_time, epoch_us(o_orderdate) + 3600000000 AS end_time,
+  'order' AS name, 'SERVER' AS kind, {BASE_US} + epoch_us(o_orderdate) % {SPAN_US} AS start_time, {BASE_US} + epoch_us(o_orderdate) % {SPAN_US} + 3600000000 AS end_time,
   CAST(3600000 AS BIGINT) AS duration_ms, CAST(NULL AS VARCHAR) AS status_code, CAST(NULL AS VARCHAR) AS status_message,
   'orders' AS service, '{{"priority":"' || o_orderpriority || '"}}' AS attributes, CAST(NULL AS BIGINT) AS heavy FROM orders
 UNION ALL SELECT trace_id, item_id, root_id, 'item',
@@ -449,12 +455,12 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 C = f"""c AS (SELECT doc_id AS chunk_id, source AS service,
   CASE doc_id % 3 WHEN 0 THEN 'stdout' WHEN 1 THEN 'stderr' ELSE 'console' END AS stream,
-  {BASE_US} + doc_id * 1000000 AS at, string_split(text, chr(10)) AS parts FROM documents),
+  {BASE_US} + doc_id * 1000000 AS t0, string_split(text, chr(10)) AS parts FROM documents),
 u AS (SELECT *, unnest(parts) AS raw, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_no FROM c),
-ln AS (SELECT chunk_id, service, stream, line_no, at + 500000 AS observed_us,
-  CASE WHEN chunk_id % 11 = 0 OR chunk_id % 13 = 0 THEN at + 500000 ELSE at + line_no END AS timestamp_us,
+ln AS (SELECT chunk_id, service, stream, line_no, t0 + 500000 AS observed_us,
+  CASE WHEN chunk_id % 11 = 0 OR chunk_id % 13 = 0 THEN t0 + 500000 ELSE t0 + line_no END AS timestamp_us,
   CASE WHEN chunk_id % 11 = 0 THEN raw WHEN chunk_id % 13 = 0 THEN '2026 ' || raw
-    ELSE strftime(make_timestamp(at + line_no), '%Y-%m-%dT%H:%M:%S.%f') || '789Z ' || raw END AS line FROM u),
+    ELSE strftime(make_timestamp(t0 + line_no), '%Y-%m-%dT%H:%M:%S.%f') || '789Z ' || raw END AS line FROM u),
 kept AS (SELECT * FROM ln WHERE stream IN ('stdout', 'stderr') AND line <> ''),
 cut AS (SELECT * EXCLUDE (line), CASE WHEN strlen(line) > 4096 THEN
   left(line, CAST(list_max(list_filter(range(1020, 4097), lambda n: strlen(left(line, CAST(n AS INTEGER))) <= 4096)) AS INTEGER))

@@ -89,11 +89,16 @@ def dependent_services(spark: SparkSession, sf: str) -> DataFrame:
     wanted = F.filter(
         F.array(
             F.struct(name(key + 1).alias("target"), kind.alias("condition")),
-            F.struct(name(key + 2), F.lit("healthy")),
-            F.struct(F.when(F.col("c_acctbal") > 0, name(F.lit(0))), F.lit("started")),
-            F.struct(F.when(key % 4 == 0, F.lit("ghost")), F.lit("started")),
+            F.struct(name(key + 2).alias("target"), F.lit("healthy").alias("condition")),
+            F.struct(
+                F.when(F.col("c_acctbal") > 0, name(F.lit(0))).alias("target"),
+                F.lit("started").alias("condition"),
+            ),
+            F.struct(
+                F.when(key % 4 == 0, F.lit("ghost")).alias("target"), F.lit("started").alias("condition")
+            ),
         ),
-        lambda e: e["target"].isNotNull() & (e["target"] != F.lit("")),
+        lambda e: e["target"].isNotNull(),
     )
     # The shared target may coincide with a neighbour; a map holds a key once.
     own = F.filter(wanted, lambda e: (key > 0) | (e["target"] != name(F.lit(0))))
@@ -113,8 +118,10 @@ def gated_services(spark: SparkSession, sf: str) -> DataFrame:
     """Customers depending on event services; some depend on nothing, many on one service."""
     key, n = F.col("c_custkey"), F.col("c_nationkey")
     kind = S.lookup(n % 3, {0: "started", 1: "completed"}, F.lit("healthy"))
-    own = F.struct(X.text("svc-«k»", k=key % 400 + 2).alias("target"), kind.alias("condition"))
-    shared = F.struct(F.lit("svc-1"), S.lookup(n % 2, {0: "started"}, F.lit("completed")))
+    own = F.struct(X.text("svc-«k»", k=key % 25 + 2).alias("target"), kind.alias("condition"))
+    shared = F.struct(
+        F.lit("svc-1").alias("target"), S.lookup(n % 2, {0: "started"}, F.lit("completed")).alias("condition")
+    )
     edges = F.when(F.col("c_mktsegment") == "BUILDING", F.array(own, shared)).when(
         F.col("c_acctbal") > 0, F.array(own)
     )
@@ -359,12 +366,12 @@ t AS (SELECT DISTINCT host, unnest(CASE WHEN length(host) % 2 = 0 THEN ['/en', '
 _CUSTOMER = "'Customer#' || lpad(CAST({0} AS VARCHAR), 9, '0')"
 _FIRINGS = f"""day AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d),
 base AS (SELECT epoch_us(CAST(d AS TIMESTAMP)) AS us, d FROM day),
-cron AS (SELECT 0 AS c, us + 7200000000 AS at FROM base
+cron AS (SELECT 0 AS c, us + 7200000000 AS t0 FROM base
   UNION ALL SELECT 1, us + unnest([0, 6, 12, 18]) * 3600000000 FROM base
   UNION ALL SELECT 2, us + 34200000000 FROM base WHERE dayofweek(d) BETWEEN 1 AND 5
   UNION ALL SELECT 3, us FROM base WHERE day(d) = 1
   UNION ALL SELECT 4, {X.BASE_US} + unnest(range(360)) * 10000000),
-firing AS (SELECT 'job-' || c_custkey AS service, CAST(at AS BIGINT) AS firing_us FROM customer JOIN cron ON c_custkey % 5 = c)"""
+firing AS (SELECT 'job-' || c_custkey AS service, CAST(t0 AS BIGINT) AS firing_us FROM customer JOIN cron ON c_custkey % 5 = c)"""
 _PROXY = """px AS (SELECT 'h' || (c_custkey // 3) AS host, c_custkey AS position,
   CASE WHEN c_nationkey % 4 = 0 THEN '/certs/' || c_custkey || '.pem' END AS cert_file,
   CASE WHEN c_nationkey % 8 < 2 THEN '/certs/' || c_custkey || '.key' END AS key_file FROM customer),
@@ -395,7 +402,7 @@ ORACLES = {
       SELECT c.c_name AS name, coalesce(string_agg(target || '=' || condition, ',' ORDER BY target || '=' || condition), '') AS depends_on
       FROM customer c LEFT JOIN kept USING (c_custkey) GROUP BY c.c_name""",
     "dependency_gate": f"""WITH {_LATEST}, ed AS (
-        SELECT c_name, 'svc-' || (c_custkey % 400 + 2) AS target, CASE c_nationkey % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'completed' ELSE 'healthy' END AS condition
+        SELECT c_name, 'svc-' || (c_custkey % 25 + 2) AS target, CASE c_nationkey % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'completed' ELSE 'healthy' END AS condition
           FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 0
         UNION ALL SELECT c_name, 'svc-1', CASE WHEN c_nationkey % 2 = 0 THEN 'started' ELSE 'completed' END FROM customer WHERE c_mktsegment = 'BUILDING'),
       j AS (SELECT c_name, coalesce(CASE condition WHEN 'started' THEN situation = 'running'

@@ -34,7 +34,7 @@ def let(value: Column, body) -> Column:
 def quoted(text: Column) -> Column:
     """JSON string literal."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
 def bytes_hex(text: Column) -> Column:
@@ -159,10 +159,13 @@ def key_values_json(pairs: Column, lookup: Column | None = None) -> Column:
     """
 
     def entry(pair: Column, index: Column) -> Column:
-        return F.struct(
-            F.coalesce(pair.getField("key"), F.lit("")).alias("key"),
-            index.alias("index"),
-            any_value_json(pair.getField("value"), lookup).alias("json"),
+        return F.named_struct(
+            F.lit("key"),
+            F.coalesce(pair.getField("key"), F.lit("")),
+            F.lit("index"),
+            index,
+            F.lit("json"),
+            any_value_json(pair.getField("value"), lookup),
         )
 
     present = F.filter(pairs, lambda kv: is_present(kv.getField("value")))

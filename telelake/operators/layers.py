@@ -37,6 +37,10 @@ def preferred_proxy(proxies: DataFrame) -> DataFrame:
     return best.select("host", "_best.*")
 
 
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
+
+
 def unknown_keys(text: Column, allowed: Mapping[str, Sequence[str]]) -> Column:
     """Keys of a JSON document outside the allowed ones, as ``path.key``.
 
@@ -48,8 +52,7 @@ def unknown_keys(text: Column, allowed: Mapping[str, Sequence[str]]) -> Column:
         level = text if path == "" else F.get_json_object(text, f"$.{path}")
         extra = F.array_except(F.json_object_keys(level), F.array(*[F.lit(k) for k in keys]))
         prefix = f"{path}." if path else ""
-        named = F.transform(extra, lambda k, p=prefix: F.concat(F.lit(p), k))
-        found.append(F.coalesce(named, F.array().cast("array<string>")))
+        found.append(F.coalesce(_prefixed(extra, prefix), F.array().cast("array<string>")))
     return F.concat(*found)
 
 

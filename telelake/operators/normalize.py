@@ -103,10 +103,13 @@ def span_events(events: Column, lookup: Column | None = None) -> Column:
     """Span events as stored; no events give NULL rather than an empty array."""
     stored = F.transform(
         events,
-        lambda e: F.struct(
-            F.timestamp_micros(S.nanos_to_micros(_nanos(e.getField("timeUnixNano")))).alias("timestamp"),
-            F.coalesce(e.getField("name"), F.lit("")).alias("name"),
-            otlp.key_values_json(e.getField("attributes"), lookup).alias("attributes"),
+        lambda e: F.named_struct(
+            F.lit("timestamp"),
+            F.timestamp_micros(S.nanos_to_micros(_nanos(e.getField("timeUnixNano")))),
+            F.lit("name"),
+            F.coalesce(e.getField("name"), F.lit("")),
+            F.lit("attributes"),
+            otlp.key_values_json(e.getField("attributes"), lookup),
         ),
     )
     return F.when(F.size(events) > 0, stored)
