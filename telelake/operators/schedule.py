@@ -16,6 +16,7 @@ _BOUNDS = {
     "weekday": (0, 6),
 }
 _YEARS = (1970, 2100)
+_HOUR_US = 3_600_000_000
 
 
 def field_values(text: Column, low: int, high: int) -> Column:
@@ -75,9 +76,23 @@ def cron_firings(
         & F.array_contains("_weekday", F.dayofweek(day) - 1 + first_weekday)
         & (F.col("_year").isNull() | F.array_contains("_year", F.year(day)))
     )
+    windowed = [c for c in ("from_us", "until_us") if c in schedules.columns]
+
+    def overlapping(df: DataFrame, begin: Column, length_us: int) -> DataFrame:
+        """Drop days or hours that lie outside the row's own window before they multiply."""
+        if "from_us" in windowed:
+            df = df.where(begin + length_us > F.col("from_us"))
+        if "until_us" in windowed:
+            df = df.where(begin < F.col("until_us"))
+        return df
+
+    # Zone offsets reach 14 hours, so a local day touches at most the days next to it.
+    day_us = F.unix_micros(day.cast("timestamp"))
+    days = overlapping(days, day_us - 14 * _HOUR_US, 52 * _HOUR_US)
     # The rows are still few here; spread them before they multiply.
     spread = days.repartition("service", "_date")
     hours = spread.withColumn("_h", F.explode("_hour"))
+    hours = overlapping(hours, day_us + (F.col("_h") - 14) * _HOUR_US, 29 * _HOUR_US)
     minutes = hours.withColumn("_m", F.explode("_minute"))
     seconds = minutes.withColumn("_s", F.explode("_second"))
     local = F.make_timestamp(
@@ -90,11 +105,11 @@ def cron_firings(
         F.lit(timezone),
     )
     fired = seconds.withColumn("firing_us", F.unix_micros(local))
-    bounds = {"from_us": F.col("firing_us") >= F.col("from_us"), "until_us": F.col("firing_us") < F.col("until_us")}
     inside = (F.col("firing_us") >= _instant(start, timezone)) & (F.col("firing_us") < _instant(end, timezone))
-    for name, bound in bounds.items():
-        if name in schedules.columns:
-            inside = inside & bound
+    if "from_us" in windowed:
+        inside = inside & (F.col("firing_us") >= F.col("from_us"))
+    if "until_us" in windowed:
+        inside = inside & (F.col("firing_us") < F.col("until_us"))
     return fired.where(inside).select("service", "firing_us")
 
 
