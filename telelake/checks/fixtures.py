@@ -11,22 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telelake.functions import scalars as S
-from telelake.session import use_utc
+from telelake.session import materialize, use_utc
 
 BASE_US = 1_704_067_200_000_000  # 2024-01-01 00:00 UTC
 SPAN_US = 30 * 86_400_000_000  # trace dates are folded into thirty days
-SERVICES = 20
+SERVICES = 8
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A test table; one that Spark reads in fewer tasks than there are cores is spread out."""
     use_utc(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+def stored(line: Column) -> Column:
+    """A line as if read from a file: built once, however often later steps refer to it."""
+    return F.explode(F.array(line)).alias("value")
+
+
 def folded(column: str) -> Column:
     return F.lit(BASE_US) + micros(column) % SPAN_US
 
@@ -121,7 +129,7 @@ def deployment_lines(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(line)
     )
     file = F.when(number % 50 == 0, "other.jsonl").otherwise("deployments.jsonl")
-    return source.select(value.alias("value"), file.alias("file"))
+    return source.select(stored(value), file.alias("file"))
 
 
 D = (
@@ -167,7 +175,7 @@ def status_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines_of(source: DataFrame, variant: str, file: str) -> DataFrame:
-    return source.select(envelope(variant, source.columns).alias("value"), F.lit(file).alias("file"))
+    return source.select(stored(envelope(variant, source.columns)), F.lit(file).alias("file"))
 
 
 def status_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +318,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     records = F.concat(first, F.when(kind == "error", second).otherwise(""))
     line = text('{"LogBatch":{"resourceLogs":[{«r»"scopeLogs":[{"logRecords":[«l»]}]}]}}', r=resource, l=records)
-    return events(spark, sf).select(line.alias("value"), F.lit("logs.jsonl").alias("file"))
+    return materialize(events(spark, sf).select(stored(line), F.lit("logs.jsonl").alias("file")), "requests")
 
 
 L = (
@@ -365,7 +373,7 @@ def span_lines(spark: SparkSession, sf: str) -> DataFrame:
         e=start + 3_600_000_000_000,
         p=F.col("o_orderpriority"),
     )
-    roots = table(spark, sf, "orders").select(root.alias("value"), F.lit("traces.jsonl").alias("file"))
+    roots = table(spark, sf, "orders").select(stored(root), F.lit("traces.jsonl").alias("file"))
 
     number, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
     begin = folded("l_shipdate") * 1000 + 999
@@ -404,8 +412,8 @@ def span_lines(spark: SparkSession, sf: str) -> DataFrame:
         e=begin + 2_000_000,
     )
     line = text('{"SpanBatch":{"resourceSpans":[{"scopeSpans":[{"spans":[«i»,«h»]}]}]}}', i=item, h=handover)
-    items = table(spark, sf, "lineitem").select(line.alias("value"), F.lit("traces.jsonl").alias("file"))
-    return roots.union(items)
+    items = table(spark, sf, "lineitem").select(stored(line), F.lit("traces.jsonl").alias("file"))
+    return materialize(roots.union(items), "requests")
 
 
 _ITEM_KEY = """left(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT),

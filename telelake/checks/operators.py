@@ -9,6 +9,7 @@ from telelake.checks import fixtures as X
 from telelake.checks.functions import OBSERVED, digest_observations
 from telelake.functions import scalars as S
 from telelake.operators import changes, correlate, dependencies, layers, normalize, output, routing, schedule, slots
+from telelake.session import materialize
 from telelake.sources import ingest
 
 NOW_S = 1_704_067_200 + 400  # the capture window ends inside the fixture's first minutes
@@ -118,7 +119,7 @@ def gated_services(spark: SparkSession, sf: str) -> DataFrame:
     """Customers depending on event services; some depend on nothing, many on one service."""
     key, n = F.col("c_custkey"), F.col("c_nationkey")
     kind = S.lookup(n % 3, {0: "started", 1: "completed"}, F.lit("healthy"))
-    own = F.struct(X.text("svc-«k»", k=key % 25 + 2).alias("target"), kind.alias("condition"))
+    own = F.struct(X.text("svc-«k»", k=key % 12 + 2).alias("target"), kind.alias("condition"))
     shared = F.struct(
         F.lit("svc-1").alias("target"), S.lookup(n % 2, {0: "started"}, F.lit("completed")).alias("condition")
     )
@@ -156,11 +157,12 @@ def assign_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- traces and logs
 def spans(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.table_rows(X.span_lines(spark, sf), "traces")
+    """Rows of the traces table, stored: readers go over them more than once."""
+    return materialize(ingest.table_rows(X.span_lines(spark, sf), "traces"), "traces")
 
 
 def log_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.table_rows(X.log_lines(spark, sf), "logs")
+    return materialize(ingest.table_rows(X.log_lines(spark, sf), "logs"), "logs")
 
 
 def logs_with_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -402,7 +404,7 @@ ORACLES = {
       SELECT c.c_name AS name, coalesce(string_agg(target || '=' || condition, ',' ORDER BY target || '=' || condition), '') AS depends_on
       FROM customer c LEFT JOIN kept USING (c_custkey) GROUP BY c.c_name""",
     "dependency_gate": f"""WITH {_LATEST}, ed AS (
-        SELECT c_name, 'svc-' || (c_custkey % 25 + 2) AS target, CASE c_nationkey % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'completed' ELSE 'healthy' END AS condition
+        SELECT c_name, 'svc-' || (c_custkey % 12 + 2) AS target, CASE c_nationkey % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'completed' ELSE 'healthy' END AS condition
           FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 0
         UNION ALL SELECT c_name, 'svc-1', CASE WHEN c_nationkey % 2 = 0 THEN 'started' ELSE 'completed' END FROM customer WHERE c_mktsegment = 'BUILDING'),
       j AS (SELECT c_name, coalesce(CASE condition WHEN 'started' THEN situation = 'running'

@@ -32,7 +32,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     envelope.stage(X.deployment_lines(spark, sf), staged)
     _drain(
         stream_load.ingest_stream(
-            spark, staged, root, marks, names=["deployments"], trigger=ONCE, maxFilesPerTrigger=4
+            spark, staged, root, marks, names=["deployments"], trigger=ONCE, maxFilesPerTrigger=8
         )
     )
     return X.plain(tables.read(spark, root, "deployments"))

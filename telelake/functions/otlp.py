@@ -7,14 +7,10 @@ Arrow UDF that sees NULL for every row without such values.
 
 from __future__ import annotations
 
-import base64
-import json
-import math
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from telelake.functions.nested import translate_all
 from telelake.functions.scalars import empty_to_null, hex_lower, plain_double
 
 ANY_VALUE = (
@@ -83,57 +79,11 @@ def scalar_json(value: Column) -> Column:
     )
 
 
-def _plain(value):
-    """JSON-ready form of one parsed value; ``_ABSENT`` when it holds nothing."""
-    if not isinstance(value, dict):
-        return _ABSENT
-    if (text := value.get("stringValue")) is not None:
-        return text
-    if (number := value.get("intValue")) is not None:
-        return int(number)
-    if (real := value.get("doubleValue")) is not None:
-        real = float(real)
-        return real if math.isfinite(real) else None
-    if (flag := value.get("boolValue")) is not None:
-        return flag
-    if (raw := value.get("bytesValue")) is not None:
-        return base64.b64decode(raw).hex()
-    if (listed := value.get("arrayValue")) is not None:
-        items = [_plain(item) for item in listed.get("values") or []]
-        return [item for item in items if item is not _ABSENT]
-    if (pairs := value.get("kvlistValue")) is not None:
-        found = {}
-        for pair in pairs.get("values") or []:
-            item = _plain(pair.get("value"))
-            if item is not _ABSENT:
-                found[pair.get("key") or ""] = item
-        return found
-    return _ABSENT
-
-
-_ABSENT = object()
-
-
-def translate_nested(text: str) -> str:
-    return json.dumps(
-        _plain(json.loads(text)), ensure_ascii=False, separators=(",", ":"), sort_keys=True
-    )
-
-
-def _translate_all(texts: pa.Array) -> pa.Array:
-    translated = [
-        None if row is None else [translate_nested(text) for text in row]
-        for row in texts.to_pylist()
-    ]
-    return pa.array(translated, type=pa.list_(pa.string()))
-
-
 def nested_lookup(texts: Column) -> Column:
     """Map from nested OTLP/JSON text to plain JSON text; NULL if there is none."""
-    translate = F.arrow_udf(_translate_all, "array<string>")
-    distinct = F.array_distinct(texts)
-    wanted = F.when(F.size(distinct) > 0, distinct)
-    return F.map_from_arrays(wanted, translate(wanted))
+    translate = F.arrow_udf(translate_all, "map<string,string>")
+    wanted = let(texts, lambda found: F.when(F.size(found) > 0, F.array_distinct(found)))
+    return translate(wanted)
 
 
 def no_nested_lookup(texts: Column) -> Column:

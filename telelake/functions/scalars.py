@@ -243,6 +243,18 @@ def uptime_seconds(started_at: Column, observed_us: Column) -> Column:
 def plain_double(value: Column) -> Column:
     """Shortest decimal text of a double without exponent and without a bare ``.0``."""
     text = F.abs(value).cast("string")
+    spread = F.when(F.contains(text, F.lit("E")), _without_exponent(text))
+    body = F.coalesce(spread, F.regexp_replace(text, r"\.0$", ""))
+    return (
+        F.when(F.isnan(value), F.lit("NaN"))
+        .when(value == F.lit(float("inf")), F.lit("inf"))
+        .when(value == F.lit(float("-inf")), F.lit("-inf"))
+        .when(F.startswith(value.cast("string"), F.lit("-")), F.concat(F.lit("-"), body))
+        .otherwise(body)
+    )
+
+
+def _without_exponent(text: Column) -> Column:
     digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.", "")
     exponent = F.coalesce(F.substring_index(text, "E", -1).try_cast("int"), F.lit(0))
     padded = F.rpad(digits, exponent + 1, F.lit("0"))
@@ -256,12 +268,4 @@ def plain_double(value: Column) -> Column:
     small = F.concat(
         F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0))), F.regexp_replace(digits, "0+$", "")
     )
-    spread = F.when(exponent >= 0, large).otherwise(small)
-    body = F.when(F.contains(text, F.lit("E")), spread).otherwise(F.regexp_replace(text, r"\.0$", ""))
-    negative = F.startswith(value.cast("string"), F.lit("-"))
-    return (
-        F.when(F.isnan(value), F.lit("NaN"))
-        .when(value == F.lit(float("inf")), F.lit("inf"))
-        .when(value == F.lit(float("-inf")), F.lit("-inf"))
-        .otherwise(F.concat(F.when(negative, "-").otherwise(""), body))
-    )
+    return F.when(exponent >= 0, large).otherwise(small)

@@ -78,33 +78,30 @@ def cron_firings(
     )
     windowed = [c for c in ("from_us", "until_us") if c in schedules.columns]
 
-    def overlapping(df: DataFrame, begin: Column, length_us: int) -> DataFrame:
-        """Drop days or hours that lie outside the row's own window before they multiply."""
+    def overlapping(df: DataFrame, begin: Column, length_us: int, slack_us: int = 0) -> DataFrame:
+        """Keep what can touch the row's own window, before it multiplies further."""
         if "from_us" in windowed:
-            df = df.where(begin + length_us > F.col("from_us"))
+            df = df.where(begin + (length_us + slack_us) > F.col("from_us"))
         if "until_us" in windowed:
-            df = df.where(begin < F.col("until_us"))
+            df = df.where(begin - slack_us < F.col("until_us"))
         return df
 
-    # Zone offsets reach 14 hours, so a local day touches at most the days next to it.
-    day_us = F.unix_micros(day.cast("timestamp"))
-    days = overlapping(days, day_us - 14 * _HOUR_US, 52 * _HOUR_US)
+    def local(hour: Column, minute: Column) -> Column:
+        at = [F.year(day), F.month(day), F.dayofmonth(day), hour, minute]
+        return F.unix_micros(F.make_timestamp(*at, F.lit(0).cast("decimal(16,6)"), F.lit(timezone)))
+
+    # Clock changes move an hour by at most one; minutes are exact.
+    midnight = local(F.lit(0), F.lit(0))
+    days = overlapping(days, midnight, 24 * _HOUR_US, _HOUR_US)
     # The rows are still few here; spread them before they multiply.
     spread = days.repartition("service", "_date")
     hours = spread.withColumn("_h", F.explode("_hour"))
-    hours = overlapping(hours, day_us + (F.col("_h") - 14) * _HOUR_US, 29 * _HOUR_US)
+    hours = overlapping(hours, local(F.col("_h"), F.lit(0)), _HOUR_US, _HOUR_US)
     minutes = hours.withColumn("_m", F.explode("_minute"))
+    minutes = minutes.withColumn("_us", local(F.col("_h"), F.col("_m")))
+    minutes = overlapping(minutes, F.col("_us"), 60_000_000)
     seconds = minutes.withColumn("_s", F.explode("_second"))
-    local = F.make_timestamp(
-        F.year(day),
-        F.month(day),
-        F.dayofmonth(day),
-        F.col("_h"),
-        F.col("_m"),
-        F.col("_s").cast("decimal(16,6)"),
-        F.lit(timezone),
-    )
-    fired = seconds.withColumn("firing_us", F.unix_micros(local))
+    fired = seconds.withColumn("firing_us", F.col("_us") + F.col("_s") * 1_000_000)
     inside = (F.col("firing_us") >= _instant(start, timezone)) & (F.col("firing_us") < _instant(end, timezone))
     if "from_us" in windowed:
         inside = inside & (F.col("firing_us") >= F.col("from_us"))

@@ -136,8 +136,16 @@ INVALID = "invalid fields"
 
 
 def _named(path: Column) -> Column:
-    """Last path element ending in ``.jsonl``: the file, or the directory of its parts."""
-    return F.regexp_extract(path, r"([^/=]+\.jsonl)(?:/[^/]+)?$", 1)
+    """Staged name of a path: the file itself, or the directory of its parts.
+
+    Plain splitting: this runs for every line, where a regular expression on the long
+    path costs more than decoding the line.
+    """
+    name = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    folder = F.substring_index(folder, "=", -1)
+    suffix = F.lit(".jsonl")
+    return F.when(F.endswith(name, suffix), name).when(F.endswith(folder, suffix), folder)
 
 
 def scan_staged(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +168,7 @@ def scan_staged_stream(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def _with_file(lines: DataFrame) -> DataFrame:
     name = _named(F.col("_metadata.file_path"))
-    return lines.where(name != "").select("value", name.alias("file"))
+    return lines.where(name.isNotNull()).select("value", name.alias("file"))
 
 
 def stage(lines: DataFrame, path: str) -> None:
@@ -183,10 +191,23 @@ def route(lines: DataFrame) -> DataFrame:
 
 def split_by_type(events: DataFrame) -> DataFrame:
     """Choose the staging file of each event line from its single key."""
-    keys = F.json_object_keys("value")
-    name = F.when(F.size(keys) == 1, F.get(keys, F.lit(0)))
-    file = S.lookup(name, {v.name: v.file for v in VARIANTS.values()})
-    return events.select("value", file.alias("file")).where("file is not null")
+    files = {v.name: v.file for v in VARIANTS.values()}
+    keys = F.when(F.size(F.json_object_keys("value")) == 1, F.json_object_keys("value"))
+    # As a generator the choice is made once; a filter on it would be evaluated again.
+    chosen = F.transform(keys, lambda name: S.lookup(name, files))
+    return events.select("value", F.explode(F.array_compact(chosen)).alias("file"))
+
+
+def may_nest(value: Column) -> Column:
+    """Whether a line can hold array or key/value-list attributes, judged by its text.
+
+    Escaped characters could hide the field names, so lines with any count as well.
+    """
+    marks = ('"arrayValue"', '"kvlistValue"', "\\u")
+    found = F.lit(False)
+    for mark in marks:
+        found = found | F.contains(value, F.lit(mark))
+    return F.coalesce(found, F.lit(False))
 
 
 def _fields(variant: Variant, version_key: str) -> tuple[str, list[str]]:

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from telelake.operators.normalize import NORMALIZERS
 from telelake.sources import envelope, tables
@@ -16,10 +17,22 @@ REPORT = "table string, ok boolean, error string"
 def table_rows(
     lines: DataFrame, table: str, version_key: str = envelope.DEFAULT_VERSION_KEY
 ) -> DataFrame:
-    """Rows of ``table`` from staged lines, complete ones only."""
-    events = envelope.decode(lines, envelope.TABLE_VARIANT[table], version_key)
-    kept, _ = tables.not_null_split(NORMALIZERS[table](events), tables.TABLES[table].required)
-    return kept
+    """Rows of ``table`` from staged lines, complete ones only.
+
+    Requests that may hold nested attribute values take a branch of their own, so
+    that the others never pass through Python. The test on the raw text is cheap and
+    may only err towards that branch.
+    """
+
+    def rows(part: DataFrame, **options) -> DataFrame:
+        events = envelope.decode(part, envelope.TABLE_VARIANT[table], version_key)
+        normal = NORMALIZERS[table](events, **options)
+        return tables.not_null_split(normal, tables.TABLES[table].required)[0]
+
+    if table not in ("logs", "traces"):
+        return rows(lines)
+    nested = envelope.may_nest(F.col("value"))
+    return rows(lines.where(~nested), nested=False).union(rows(lines.where(nested), nested=True))
 
 
 def ingest_batch(

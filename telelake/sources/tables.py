@@ -160,12 +160,12 @@ def missing_columns(df: DataFrame, required: Iterable[str]) -> Column:
 
 def not_null_split(df: DataFrame, required: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """(complete rows, offending rows with a ``reason``)."""
-    checked = df.withColumn("reason", missing_columns(df, list(required)))
-    kept = checked.where(F.col("reason") == "").drop("reason")
-    rejected = checked.where(F.col("reason") != "").withColumn(
-        "reason", F.concat(F.lit("null in "), F.col("reason"))
-    )
-    return kept, rejected
+    required = list(required)
+    complete = F.lit(True)
+    for name in required:
+        complete = complete & df[name].isNotNull()
+    reason = F.concat(F.lit("null in "), missing_columns(df, required))
+    return df.where(complete), df.where(~complete).withColumn("reason", reason)
 
 
 def laid_out(df: DataFrame, name: str) -> DataFrame:
