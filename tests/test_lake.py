@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from telelake.checks import fixtures as X
 from telelake.operators import normalize
-from telelake.session import scratch_path
+from telelake.session import scratch_path, shared_dir
 from telelake.sources import envelope, ingest, maintenance, tables
 from telelake.streaming import ingest as stream_load
 from telelake.streaming import output as stream_capture
@@ -257,3 +257,19 @@ def test_stream_drops_repeated_lines_on_request(spark, tmp_path):
 
 def test_scratch_needs_a_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+class _Session:
+    """Just enough of a session to ask for the shared folder."""
+
+    def __init__(self, master, configured=None):
+        self.conf = {"spark.checkpoint.dir": configured} if configured else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_only_local_sessions_fall_back_to_a_temporary_folder():
+    local = shared_dir(_Session("local[2]"))
+    assert os.path.isdir(local) and shared_dir(_Session("local[2]")) == local
+    assert shared_dir(_Session("spark://host:7077", "s3://bucket/scratch/")) == "s3://bucket/scratch"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("yarn"))
