@@ -68,7 +68,7 @@ def skew_join(
             match = match & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
         return df.join(F.broadcast(table), match, "left").drop(*[f"_hot_{k}" for k in on])
 
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
+    row_hash = F.xxhash64(*[F.col(c) for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind])
     sliced = tagged(left).withColumn(
         "_slice", F.pmod(row_hash, F.coalesce("_slices", F.lit(1))).cast("int")
     )

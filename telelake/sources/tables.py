@@ -127,12 +127,24 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return fs.exists(path)
 
 
-def ensure_table(spark: SparkSession, root: str, name: str, fmt: str = DEFAULT_FORMAT) -> None:
+def layout(name: str, by_date_only: bool = False) -> tuple:
+    """Partition columns of a table.
+
+    With very many services a directory per service and date holds little; the
+    date-only layout keeps the rows sorted by service instead.
+    """
+    return ("date",) if by_date_only else TABLES[name].partitions
+
+
+def ensure_table(
+    spark: SparkSession, root: str, name: str, fmt: str = DEFAULT_FORMAT, by_date_only: bool = False
+) -> None:
     """Create the table's location with its schema unless it already exists."""
-    table, uri = TABLES[name], table_uri(root, name)
+    uri = table_uri(root, name)
     if not exists(spark, uri):
-        empty = spark.createDataFrame([], table.schema)
-        empty.write.format(fmt).partitionBy(*table.partitions).mode("ignore").save(uri)
+        empty = spark.createDataFrame([], TABLES[name].schema)
+        partitions = layout(name, by_date_only)
+        empty.write.format(fmt).partitionBy(*partitions).mode("ignore").save(uri)
 
 
 def ensure_tables(
@@ -168,18 +180,20 @@ def not_null_split(df: DataFrame, required: Iterable[str]) -> tuple[DataFrame, D
     return df.where(complete), df.where(~complete).withColumn("reason", reason)
 
 
-def laid_out(df: DataFrame, name: str) -> DataFrame:
+def laid_out(df: DataFrame, name: str, by_date_only: bool = False) -> DataFrame:
     """Rows arranged for the partitioned write.
 
     REBALANCE lets adaptive execution merge small partition directories into one
     task and split a directory that holds much of the data over many tasks.
     """
-    table = TABLES[name]
-    spread = df.hint("rebalance", *table.partitions)
-    return spread.sortWithinPartitions(*table.partitions, *table.sort_by)
+    partitions = layout(name, by_date_only)
+    within = [c for c in (*TABLES[name].partitions, *TABLES[name].sort_by) if c not in partitions]
+    return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *within)
 
 
-def append(df: DataFrame, root: str, name: str, fmt: str = DEFAULT_FORMAT) -> None:
+def append(
+    df: DataFrame, root: str, name: str, fmt: str = DEFAULT_FORMAT, by_date_only: bool = False
+) -> None:
     """Append complete rows; a row that breaks the non-null contract fails the write."""
     table = TABLES[name]
     missing = missing_columns(df, table.required)
@@ -189,8 +203,8 @@ def append(df: DataFrame, root: str, name: str, fmt: str = DEFAULT_FORMAT) -> No
     first = table.required[0]
     guarded = df.withColumn(first, F.when(guard.isNull(), df[first]))
     conformed = guarded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema])
-    writer = laid_out(conformed, name).write.format(fmt).mode("append")
-    writer.partitionBy(*table.partitions).save(table_uri(root, name))
+    writer = laid_out(conformed, name, by_date_only).write.format(fmt).mode("append")
+    writer.partitionBy(*layout(name, by_date_only)).save(table_uri(root, name))
 
 
 def read(

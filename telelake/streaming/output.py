@@ -27,8 +27,8 @@ def captured_rows(chunks: DataFrame, repeats_within: str | None = None) -> DataF
     """Table rows of a chunk stream.
 
     ``repeats_within`` drops lines that come again within that delay, as at the second
-    shared by two captures in a row. The occurrence number keeps equal lines of one
-    chunk apart.
+    shared by two captures in a row. Lines of one service and stream with the same text
+    and the same microsecond count as repeats.
     """
     parsed = output.capture(chunks)
     rows = parsed.select(

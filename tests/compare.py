@@ -19,6 +19,15 @@ TABLES = (
     " benchmark labels conversations"
 ).split()
 
+DUCK_TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+}
+
 
 def connect(sf: str):
     con = duckdb.connect()
@@ -43,6 +52,10 @@ def difference(df, con, sql: str) -> str | None:
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    theirs = {d[0]: str(d[1]) for d in result.description}
+    types = {c: (t, theirs[c]) for c, t in df.dtypes if DUCK_TYPES.get(t) != theirs[c]}
+    if types:
+        return f"types {types}"
     columns = sorted(names)
     order = [names.index(c) for c in columns]
     theirs = Counter(tuple(value(row[i]) for i in order) for row in result.fetchall())

@@ -273,3 +273,34 @@ def test_only_local_sessions_fall_back_to_a_temporary_folder():
     assert shared_dir(_Session("spark://host:7077", "s3://bucket/scratch/")) == "s3://bucket/scratch"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(_Session("yarn"))
+
+
+def test_date_only_layout_reads_the_same(spark, tmp_path):
+    rows = ingest.table_rows(X.status_lines(spark, SF), "status")
+    wide, narrow = str(tmp_path / "wide"), str(tmp_path / "narrow")
+    tables.append(rows, wide, "status")
+    tables.append(rows, narrow, "status", by_date_only=True)
+    assert len(data_files(narrow)) < len(data_files(wide))
+    columns = rows.columns
+    both = [sorted(map(str, tables.read(spark, r, "status").select(columns).collect())) for r in (wide, narrow)]
+    assert both[0] == both[1]
+
+
+def test_stream_of_requests_equals_batch(spark, tmp_path):
+    staged, root, marks = (str(tmp_path / p) for p in ("staged", "lake", "marks"))
+    both = X.log_lines(spark, SF).union(X.span_lines(spark, SF))
+    envelope.stage(both, staged)
+    queries = stream_load.ingest_stream(
+        spark, staged, root, marks, names=["logs", "traces"], trigger={"availableNow": True}
+    )
+    assert stream_load.drain(queries) == {"logs": None, "traces": None}
+    for name in ("logs", "traces"):
+        expected = ingest.table_rows(both, name)
+        found = tables.read(spark, root, name).select(expected.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_lines_are_parsed_once(spark):
+    rows = ingest.table_rows(X.status_lines(spark, SF), "status")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
