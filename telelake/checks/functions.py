@@ -61,13 +61,13 @@ def fn_service_name(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_attributes_json(spark: SparkSession, sf: str) -> DataFrame:
-    known = _records(spark, sf).withColumn("_l", otlp.nested_lookup(otlp.nested_texts(F.col("pairs"))))
+    known = _records(spark, sf).withColumn("_l", otlp.nested_lookup(otlp.nested_texts(F.col("pairs")), otlp.any_nested(F.col("pairs"))))
     return known.select("nanos", otlp.key_values_json(F.col("pairs"), F.col("_l")).alias("attributes"))
 
 
 def fn_body_text(spark: SparkSession, sf: str) -> DataFrame:
     texts = F.array_compact(F.array(otlp.nested_text(F.col("body"))))
-    known = _records(spark, sf).withColumn("_l", otlp.nested_lookup(texts))
+    known = _records(spark, sf).withColumn("_l", otlp.nested_lookup(texts, F.size(texts) > 0))
     return known.select("nanos", otlp.body_text(F.col("body"), F.col("_l")).alias("body"))
 
 
@@ -92,7 +92,7 @@ def fn_any_value(spark: SparkSession, sf: str) -> DataFrame:
     )
     parsed = X.events(spark, sf).select("event_id", F.from_json(raw, otlp.ANY_VALUE).alias("v"))
     texts = F.array_compact(F.array(otlp.nested_text(F.col("v"))))
-    known = parsed.withColumn("_l", otlp.nested_lookup(texts))
+    known = parsed.withColumn("_l", otlp.nested_lookup(texts, F.size(texts) > 0))
     return known.select("event_id", otlp.any_value_json(F.col("v"), F.col("_l")).alias("json"))
 
 

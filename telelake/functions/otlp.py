@@ -62,7 +62,17 @@ def nested_text(value: Column) -> Column:
     )
 
 
+def is_nested(value: Column) -> Column:
+    return value.getField("arrayValue").isNotNull() | value.getField("kvlistValue").isNotNull()
+
+
+def any_nested(pairs: Column) -> Column:
+    """Whether some pair holds an array or key/value list; false for no pairs."""
+    return F.coalesce(F.exists(pairs, lambda kv: is_nested(kv.getField("value"))), F.lit(False))
+
+
 def nested_texts(pairs: Column) -> Column:
+    """OTLP/JSON texts of the nested values among the pairs."""
     texts = F.transform(pairs, lambda kv: nested_text(kv.getField("value")))
     return F.coalesce(F.filter(texts, lambda t: t.isNotNull()), F.array().cast("array<string>"))
 
@@ -79,18 +89,17 @@ def scalar_json(value: Column) -> Column:
     )
 
 
-def nested_lookup(texts: Column) -> Column:
-    """Map from nested OTLP/JSON text to plain JSON text; NULL if there is none."""
+def nested_lookup(texts: Column, found: Column) -> Column:
+    """Map from nested OTLP/JSON text to plain JSON text, where ``found`` says there is any."""
     translate = F.arrow_udf(translate_all, "map<string,string>")
-    wanted = let(texts, lambda found: F.when(F.size(found) > 0, F.array_distinct(found)))
-    return translate(wanted)
+    return translate(F.when(found, F.array_distinct(texts)))
 
 
-def no_nested_lookup(texts: Column) -> Column:
+def no_nested_lookup(found: Column) -> Column:
     """Stand-in for :func:`nested_lookup` that refuses nested values instead of losing them."""
     empty = F.lit(None).cast("map<string,string>")
     refuse = F.raise_error(F.lit("nested attribute value; normalise with nested=True"))
-    return F.when(F.size(texts) > 0, refuse.cast("map<string,string>")).otherwise(empty)
+    return F.when(found, refuse.cast("map<string,string>")).otherwise(empty)
 
 
 def any_value_json(value: Column, lookup: Column | None = None) -> Column:

@@ -60,8 +60,8 @@ def _nanos(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0).cast("bigint")).otherwise(text.try_cast("bigint"))
 
 
-def _lookup(texts: Column, nested: bool) -> Column:
-    return otlp.nested_lookup(texts) if nested else otlp.no_nested_lookup(texts)
+def _lookup(texts: Column, found: Column, nested: bool) -> Column:
+    return otlp.nested_lookup(texts, found) if nested else otlp.no_nested_lookup(found)
 
 
 def logs(requests: DataFrame, nested: bool = True) -> DataFrame:
@@ -73,7 +73,9 @@ def logs(requests: DataFrame, nested: bool = True) -> DataFrame:
     resources = requests.select(F.explode("resourceLogs").alias("r")).select(
         F.col("r.resource.attributes").alias("_resource"), F.col("r.scopeLogs").alias("_scopes")
     )
-    resources = resources.withColumn("_names", _lookup(otlp.nested_texts(F.col("_resource")), nested))
+    pairs = F.col("_resource")
+    names = _lookup(otlp.nested_texts(pairs), otlp.any_nested(pairs), nested)
+    resources = resources.withColumn("_names", names)
     resources = resources.select(
         otlp.service_name(F.col("_resource")).alias("service"),
         otlp.key_values_json(F.col("_resource"), F.col("_names")).alias("resource"),
@@ -84,7 +86,8 @@ def logs(requests: DataFrame, nested: bool = True) -> DataFrame:
         otlp.nested_texts(F.col("l.attributes")),
         F.array_compact(F.array(otlp.nested_text(F.col("l.body")))),
     )
-    records = records.withColumn("_lookup", _lookup(texts, nested))
+    found = otlp.any_nested(F.col("l.attributes")) | F.coalesce(otlp.is_nested(F.col("l.body")), F.lit(False))
+    records = records.withColumn("_lookup", _lookup(texts, found, nested))
     records = records.withColumn("_us", S.nanos_to_micros(_nanos(F.col("l.timeUnixNano"))))
     return records.select(
         S.date_bucket(F.col("_us")).alias("date"),
@@ -129,7 +132,10 @@ def traces(requests: DataFrame, nested: bool = True) -> DataFrame:
         otlp.nested_texts(F.col("s.attributes")),
         F.coalesce(of_events, F.array().cast("array<string>")),
     )
-    spans = spans.withColumn("_lookup", _lookup(texts, nested))
+    found = otlp.any_nested(F.col("s.attributes")) | F.coalesce(
+        F.exists("s.events", lambda e: otlp.any_nested(e.getField("attributes"))), F.lit(False)
+    )
+    spans = spans.withColumn("_lookup", _lookup(texts, found, nested))
     spans = spans.withColumns(
         {"_start": _nanos(F.col("s.startTimeUnixNano")), "_end": _nanos(F.col("s.endTimeUnixNano"))}
     )

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Temporary folders of local sessions without a configured one, by application.
 _local_dirs: dict[str, str] = {}
+# Scratch locations handed out and not yet removed.
+_scratch: list[str] = []
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -37,7 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh, never reused location in the shared folder."""
-    return f"{shared_dir(spark)}/telelake/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/telelake/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this process has stored so far; DataFrames built on it end here."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from telelake.checks import fixtures as X
 from telelake.operators import normalize
-from telelake.session import scratch_path, shared_dir
+from telelake.session import materialize, remove_scratch, scratch_path, shared_dir
 from telelake.sources import envelope, ingest, maintenance, tables
 from telelake.streaming import ingest as stream_load
 from telelake.streaming import output as stream_capture
@@ -304,3 +304,11 @@ def test_lines_are_parsed_once(spark):
     rows = ingest.table_rows(X.status_lines(spark, SF), "status")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_scratch_can_be_removed(spark):
+    stored = materialize(spark.range(5), "probe")
+    [file] = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    assert tables.exists(spark, file)
+    remove_scratch(spark)
+    assert not tables.exists(spark, file)
