@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telelake.llm import bpe, packing, quality_rules, simhash, toxicity
+from telelake.llm import (
+    ann,
+    bpe,
+    html_extract,
+    licenses,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    toxicity,
+    warc,
+)
 from telelake.llm.rows import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +28,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path), "length")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources of documents; a language is a path of its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), lambda i: ~held_out(i))
+    return quality_classifier.judge(docs, model, F.col("source"), F.col("lang"), columns=["doc_id"])
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY))
@@ -28,6 +46,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "license.license",
+        F.array_join("license.notices", ",").alias("notices"),
+        F.size("license.notices").cast("long").alias("n_notices"),
+    )
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+    return found.select("page_id", "url", "main.*")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
@@ -44,6 +81,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(docs, columns=["doc_id"]).select("doc_id", "near.fingerprint", "near.component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve(warc.records_of(table(spark, sf_dir, "pages")))
+    pairs = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return resolved.select(
+        "record_id",
+        "canonical",
+        "outcome",
+        "refers_to",
+        "payload_digest",
+        F.array_join(F.array_sort(pairs), ";").alias("headers"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs).select("doc_id", "quality.*")
@@ -51,9 +101,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_bpe": op3_bpe,
+    "op4_licenses": op4_licenses,
+    "op5_html": op5_html,
+    "op6_nearest": op6_nearest,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_licenses": licenses.sql(), "op9_warc": warc.SQL}
