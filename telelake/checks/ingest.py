@@ -107,7 +107,56 @@ def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
         for name in tables.TABLES
         if name != "host-cpu"
     ]
-    return report.join(reduce(DataFrame.union, loaded), "table", "left").select("table", "ok", "rows")
+    known = report.withColumn("table", F.coalesce("table", F.lit("unknown")))
+    return known.join(reduce(DataFrame.union, loaded), "table", "left").select("table", "ok", "loaded", "rejected", "rows")
+
+
+def strange_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines whose fields, times or nested values cannot be read, among good ones."""
+    i, us = F.col("event_id"), F.col("us")
+    status = (
+        '{"ContainerStatus":{"timestamp":«t»,"service":"id-«i»","container_id":"c","state":"Running","health_status":"None",'
+        '"exit_code":"abc","restart_count":1,"uptime_seconds":1,"failing_streak":0}}'
+    )
+    log = (
+        '{"LogBatch":{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"id-«i»"}}]},'
+        '"scopeLogs":[{"logRecords":[{"timeUnixNano":"%s","body":%s}]}]}]}}'
+    )
+    span = (
+        '{"SpanBatch":{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"id-«i»"}}]},'
+        '"scopeSpans":[{"spans":[{"traceId":"a","spanId":"b","name":"n","startTimeUnixNano":"1","endTimeUnixNano":"abc"}]}]}]}}'
+    )
+    time = "«t»000"
+    forms = {
+        0: (status, "status.jsonl"),
+        1: (log % ("9300000000000000000", '{"stringValue":"x"}'), "logs.jsonl"),
+        2: (log % (time, '{"arrayValue":{"values":[{"intValue":"abc"}]}}'), "logs.jsonl"),
+        3: (log % (time, '{"kvlistValue":{"values":[{"key":"k","value":{"bytesValue":"abc"}}]}}'), "logs.jsonl"),
+        4: (log % (time, '{"intValue":"x1"}'), "logs.jsonl"),
+        5: (span, "traces.jsonl"),
+        6: (log % (time, '{"intValue":"7"}'), "logs.jsonl"),
+        7: (log % (time, '{"arrayValue":{"values":[{"intValue":"7"}]}}'), "logs.jsonl"),
+    }
+    value, file = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, (form, name) in forms.items():
+        value = F.when(i % 8 == kind, X.text(form, i=i, t=us)).otherwise(value)
+        file = F.when(i % 8 == kind, name).otherwise(file)
+    return X.events(spark, sf).select(X.stored(value), file.alias("file"))
+
+
+def quarantine_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line is either rejected with a reason or loaded."""
+    lines = strange_lines(spark, sf)
+    root = scratch_path(spark, "lake")
+    report = ingest.ingest_batch(lines, root, names=["status", "logs", "traces"])
+    counted = report.agg(F.sum("loaded").alias("loaded"), F.sum("rejected").alias("rejected"), F.min("ok").alias("ok"))
+    number = F.regexp_extract("value", "id-([0-9]+)", 1).cast("bigint").alias("event_id")
+    rejected = spark.read.parquet(f"{root}/{ingest.QUARANTINE}").select(number, "file", "reason")
+    loaded = tables.read(spark, root, "logs").select(
+        F.substring("service", 4, 20).cast("bigint").alias("event_id"), F.lit("logs.jsonl").alias("file"), F.col("body").alias("reason")
+    )
+    total = counted.select(F.col("loaded").alias("event_id"), F.col("rejected").cast("string").alias("file"), F.col("ok").cast("string").alias("reason"))
+    return rejected.union(loaded).union(total)
 
 
 def not_null_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,6 +219,7 @@ QUERIES = {
         ensure_tables,
         append_roundtrip,
         ingest_report,
+        quarantine_rows,
         not_null_split,
         ingest_metrics,
         compact_plan,
@@ -203,11 +253,19 @@ ORACLES = {
     "ensure_tables": f"""SELECT unnest(['status', 'host-cpu']) AS "table", {_EVENTS} AS rows, true AS present
       UNION ALL SELECT unnest(['deployments', 'logs', 'traces', 'container-output', 'host-disk', 'host-memory']), 0, true""",
     "append_roundtrip": f"{_D} {X.DEPLOYMENT_ROWS}",
-    "ingest_report": f"""{_D} SELECT 'deployments' AS "table", true AS ok, count(*) AS rows FROM d
-      UNION ALL SELECT unnest(['status', 'container-output', 'host-disk', 'host-memory']), true, {_EVENTS}
-      UNION ALL SELECT 'logs', true, {_EVENTS} + (SELECT count(*) FROM events WHERE event_type = 'error')
-      UNION ALL SELECT 'traces', true, (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem)
-      UNION ALL SELECT 'host-cpu', false, NULL""",
+    "ingest_report": f"""{_D}, broken AS (SELECT count(*) AS n FROM lines WHERE event_type = 'error' AND file = 'deployments.jsonl'),
+      strange AS (SELECT count(*) AS n FROM lines WHERE file = 'other.jsonl'),
+      s AS (SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS n)
+      SELECT 'deployments' AS "table", true AS ok, count(*) AS loaded, any_value(broken.n) AS rejected, count(*) AS rows FROM d, broken
+      UNION ALL SELECT unnest(['status', 'container-output', 'host-disk', 'host-memory']), true, {_EVENTS}, 0, {_EVENTS}
+      UNION ALL SELECT 'logs', true, {_EVENTS}, 0, {_EVENTS} + (SELECT count(*) FROM events WHERE event_type = 'error')
+      UNION ALL SELECT 'traces', true, s.n, 0, (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) FROM s
+      UNION ALL SELECT 'unknown', true, 0, n, NULL FROM strange
+      UNION ALL SELECT 'host-cpu', false, 0, 0, NULL""",
+    "quarantine_rows": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'status.jsonl' WHEN 5 THEN 'traces.jsonl' ELSE 'logs.jsonl' END AS file,
+        CASE event_id % 8 WHEN 2 THEN 'unreadable nested value' WHEN 3 THEN 'unreadable nested value' WHEN 6 THEN '7' WHEN 7 THEN '[7]'
+          ELSE 'invalid fields' END AS reason FROM events
+      UNION ALL SELECT CAST(count(*) FILTER (event_id % 8 >= 6) AS BIGINT), CAST(count(*) FILTER (event_id % 8 < 6) AS VARCHAR), 'true' FROM events""",
     "not_null_split": f"""{_E}, n AS (SELECT us, concat_ws(',', CASE WHEN event_type = 'error' THEN 'service' END,
       CASE WHEN k % 3 = 0 THEN 'failing_streak' END) AS missing FROM e)
       SELECT us AS timestamp, CASE WHEN missing <> '' THEN 'null in ' || missing END AS reason FROM n""",

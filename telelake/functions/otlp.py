@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from telelake.functions.nested import translate_all
+from telelake.functions.nested import all_readable, translate_all
 from telelake.functions.scalars import empty_to_null, hex_lower, plain_double
 
 ANY_VALUE = (
@@ -95,6 +95,109 @@ def nested_lookup(texts: Column, found: Column) -> Column:
     return translate(F.when(found, F.array_distinct(texts)))
 
 
+def _all(items: Column, test) -> Column:
+    """Whether every element passes; absent lists and elements do."""
+    return F.coalesce(F.forall(items, lambda x: F.coalesce(test(x), F.lit(True))), F.lit(True))
+
+
+def readable_value(value: Column) -> Column:
+    """Whether the scalars of a value are what their fields promise."""
+    number, data = value.getField("intValue"), value.getField("bytesValue")
+    return (number.isNull() | number.try_cast("bigint").isNotNull()) & (
+        data.isNull() | F.try_to_binary(data, F.lit("base64")).isNotNull()
+    )
+
+
+def readable_pairs(pairs: Column) -> Column:
+    return _all(pairs, lambda kv: readable_value(kv.getField("value")))
+
+
+def readable_nanos(text: Column) -> Column:
+    """Whether a time in nanoseconds fits a signed 64-bit number; absent times count as 0."""
+    return text.isNull() | F.coalesce(text.try_cast("bigint") >= 0, F.lit(False))
+
+
+def readable_logs(request: Column) -> Column:
+    """Whether every record of a log request can be loaded, nested values aside."""
+
+    def record(r: Column) -> Column:
+        return (
+            readable_nanos(r.getField("timeUnixNano"))
+            & F.coalesce(readable_value(r.getField("body")), F.lit(True))
+            & readable_pairs(r.getField("attributes"))
+        )
+
+    return _all(
+        request.getField("resourceLogs"),
+        lambda r: readable_pairs(r.getField("resource").getField("attributes"))
+        & _all(r.getField("scopeLogs"), lambda s: _all(s.getField("logRecords"), record)),
+    )
+
+
+def readable_spans(request: Column) -> Column:
+    """Whether every span of a request can be loaded, nested values aside."""
+
+    def event(e: Column) -> Column:
+        return readable_nanos(e.getField("timeUnixNano")) & readable_pairs(e.getField("attributes"))
+
+    def span(s: Column) -> Column:
+        return (
+            readable_nanos(s.getField("startTimeUnixNano"))
+            & readable_nanos(s.getField("endTimeUnixNano"))
+            & readable_pairs(s.getField("attributes"))
+            & _all(s.getField("events"), event)
+        )
+
+    return _all(
+        request.getField("resourceSpans"),
+        lambda r: readable_pairs(r.getField("resource").getField("attributes"))
+        & _all(r.getField("scopeSpans"), lambda s: _all(s.getField("spans"), span)),
+    )
+
+
+def _every(items: Column, texts) -> Column:
+    """Texts of all elements in one list."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.flatten(F.transform(items, lambda x: F.coalesce(texts(x), none))), none)
+
+
+def log_texts(request: Column) -> Column:
+    """All nested values of a log request."""
+
+    def record(r: Column) -> Column:
+        body = F.array_compact(F.array(nested_text(r.getField("body"))))
+        return F.concat(nested_texts(r.getField("attributes")), body)
+
+    return _every(
+        request.getField("resourceLogs"),
+        lambda r: F.concat(
+            nested_texts(r.getField("resource").getField("attributes")),
+            _every(r.getField("scopeLogs"), lambda s: _every(s.getField("logRecords"), record)),
+        ),
+    )
+
+
+def span_texts(request: Column) -> Column:
+    """All nested values of a span request that are stored."""
+
+    def span(s: Column) -> Column:
+        return F.concat(
+            nested_texts(s.getField("attributes")),
+            _every(s.getField("events"), lambda e: nested_texts(e.getField("attributes"))),
+        )
+
+    return _every(
+        request.getField("resourceSpans"),
+        lambda r: _every(r.getField("scopeSpans"), lambda s: _every(s.getField("spans"), span)),
+    )
+
+
+def readable_nested(texts: Column) -> Column:
+    """Whether all nested values can be read; Python sees NULL where there are none."""
+    check = F.arrow_udf(all_readable, "boolean")
+    return check(F.when(F.size(texts) > 0, texts))
+
+
 def no_nested_lookup(found: Column) -> Column:
     """Stand-in for :func:`nested_lookup` that refuses nested values instead of losing them."""
     empty = F.lit(None).cast("map<string,string>")

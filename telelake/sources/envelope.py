@@ -23,7 +23,9 @@ class Variant:
     required: tuple = ()
     codes: tuple = ()
     unsigned: tuple = ()
-    optional_codes: tuple = ()
+    # Further test of the parsed event, and its nested values as a list of texts.
+    readable: Callable[[Column], Column] | None = None
+    nested: Callable[[Column], Column] | None = None
 
 
 _ATTRIBUTES = f"attributes:{otlp.KEY_VALUES}"
@@ -72,8 +74,12 @@ VARIANTS = {
             ).split(),
             codes=(("state", S.state_code), ("health_status", S.health_code)),
         ),
-        Variant("LogBatch", "logs.jsonl", "logs", LOG_REQUEST),
-        Variant("SpanBatch", "traces.jsonl", "traces", SPAN_REQUEST),
+        Variant(
+            "LogBatch", "logs.jsonl", "logs", LOG_REQUEST, readable=otlp.readable_logs, nested=otlp.log_texts
+        ),
+        Variant(
+            "SpanBatch", "traces.jsonl", "traces", SPAN_REQUEST, readable=otlp.readable_spans, nested=otlp.span_texts
+        ),
         Variant(
             "ContainerOutput",
             "container-output.jsonl",
@@ -133,6 +139,9 @@ UNKNOWN_FILE = "unknown file"
 MALFORMED = "malformed line"
 WRONG_VARIANT = "wrong variant"
 INVALID = "invalid fields"
+UNREADABLE = "unreadable nested value"
+# Field in which the parser reports that some field had a value of another type.
+_MISTYPED = "_corrupt_record"
 
 
 def _named(path: Column) -> Column:
@@ -216,9 +225,14 @@ def _fields(variant: Variant, version_key: str) -> tuple[str, list[str]]:
 
 
 def _parsed(variant: Variant, version_key: str) -> Column:
+    """The event of a line; NULL if it is absent or any field has another type."""
     fields, _ = _fields(variant, version_key)
-    schema = f"struct<{variant.name}:struct<{fields}>>"
-    return F.from_json("value", schema).getField(variant.name)
+    schema = f"struct<{variant.name}:struct<{fields}>,{_MISTYPED}:string>"
+    options = {"columnNameOfCorruptRecord": _MISTYPED}
+    return otlp.let(
+        F.from_json("value", schema, options),
+        lambda line: F.when(line.getField(_MISTYPED).isNull(), line.getField(variant.name)),
+    )
 
 
 def _sound(event: Column, variant: Variant, version_key: str) -> Column:
@@ -231,14 +245,19 @@ def _sound(event: Column, variant: Variant, version_key: str) -> Column:
         good = good & code(event.getField(name)).isNotNull()
     for name, top in variant.unsigned:
         good = good & event.getField(name).between(F.lit(0), F.lit(top))
+    if variant.readable:
+        good = good & variant.readable(event)
     return F.coalesce(good, F.lit(False))
 
 
-def decode(lines: DataFrame, variant: str, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:
+def decode(
+    lines: DataFrame, variant: str, version_key: str = DEFAULT_VERSION_KEY, nested: bool = True
+) -> DataFrame:
     """Event columns of the valid lines staged in the file of ``variant``.
 
-    Malformed lines, other variants and invalid fields are dropped; use
-    :func:`quarantine` to see them.
+    Malformed lines, other variants, invalid fields and unreadable nested values are
+    dropped; :func:`quarantine` has exactly these lines. ``nested=False`` spares Python
+    for lines that :func:`may_nest` rules out.
     """
     spec = VARIANTS[variant]
     own = lines.where(F.col("file") == spec.file)
@@ -249,7 +268,10 @@ def decode(lines: DataFrame, variant: str, version_key: str = DEFAULT_VERSION_KE
         F.array(_parsed(spec, version_key)),
         lambda e: e.isNotNull() & single & _sound(e, spec, version_key),
     )
-    valid = own.select(F.explode(valid).alias("event")).select("event.*")
+    valid = own.select(F.explode(valid).alias("event"))
+    if spec.nested and nested:
+        valid = valid.where(otlp.readable_nested(spec.nested(F.col("event"))))
+    valid = valid.select("event.*")
     if version_key in valid.columns and version_key != DEFAULT_VERSION_KEY:
         valid = valid.withColumnRenamed(version_key, DEFAULT_VERSION_KEY)
     return valid
@@ -282,13 +304,22 @@ def _reason(version_key: str) -> Column:
 
 def judge(lines: DataFrame, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:
     """Add ``reason``: why a line is not loaded, NULL for a good line."""
-    return lines.withColumn("reason", _reason(version_key))
+    texts = None
+    for spec in VARIANTS.values():
+        if spec.nested:
+            here = (F.col("file") == spec.file) & may_nest(F.col("value"))
+            own = otlp.let(_parsed(spec, version_key), spec.nested)
+            texts = F.when(here, own) if texts is None else texts.when(here, own)
+    judged = lines.withColumn("reason", _reason(version_key)).withColumn(
+        "_readable", otlp.readable_nested(F.when(F.col("reason").isNull(), texts))
+    )
+    reason = F.coalesce("reason", F.when(~F.col("_readable"), UNREADABLE))
+    return judged.withColumn("reason", reason).drop("_readable")
 
 
 def quarantine(lines: DataFrame, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:
     """Lines that are not loaded, with file and reason."""
-    reasons = F.array_compact(F.array(_reason(version_key)))
-    return lines.select("value", "file", F.explode(reasons).alias("reason"))
+    return judge(lines, version_key).select("value", "file", "reason").where("reason is not null")
 
 
 def ingest_metrics(lines: DataFrame, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:

@@ -11,23 +11,24 @@ from pyspark.sql import functions as F
 from telelake.operators.normalize import NORMALIZERS
 from telelake.sources import envelope, tables
 
-REPORT = "table string, ok boolean, error string"
+REPORT = "table string, ok boolean, loaded bigint, rejected bigint, error string"
+QUARANTINE = "_quarantine"
 
 
 def table_rows(
     lines: DataFrame, table: str, version_key: str = envelope.DEFAULT_VERSION_KEY
 ) -> DataFrame:
-    """Rows of ``table`` from staged lines, complete ones only.
+    """Rows of ``table`` from the staged lines that can be loaded whole.
 
-    Requests that may hold nested attribute values take a branch of their own, so
+    All other lines are those of :func:`telelake.sources.envelope.quarantine`; nothing is
+    left out later on. Requests that may hold nested attribute values take a branch of their own, so
     that the others never pass through Python. The test on the raw text is cheap and
     may only err towards that branch.
     """
 
     def rows(part: DataFrame, **options) -> DataFrame:
-        events = envelope.decode(part, envelope.TABLE_VARIANT[table], version_key)
-        normal = NORMALIZERS[table](events, **options)
-        return tables.not_null_split(normal, tables.TABLES[table].required)[0]
+        events = envelope.decode(part, envelope.TABLE_VARIANT[table], version_key, **options)
+        return NORMALIZERS[table](events, **options)
 
     if table not in ("logs", "traces"):
         return rows(lines)
@@ -44,10 +45,13 @@ def ingest_batch(
     version_key: str = envelope.DEFAULT_VERSION_KEY,
     fmt: str = tables.DEFAULT_FORMAT,
 ) -> DataFrame:
-    """Load every table from staged lines and report ``(table, ok, error)``.
+    """Load every table from staged lines and report on each.
 
-    Each table reads only its own staged files and fails on its own; the batch may be
-    discarded when every row says ``ok``. ``roots`` places single tables elsewhere.
+    ``loaded`` and ``rejected`` count its staged lines; rejected lines are appended to the
+    table ``_quarantine`` of ``root`` with file and reason. The row without a table stands
+    for lines of unknown files. Each table reads only its own staged files and fails on
+    its own; the batch may be discarded when every row says ``ok``. ``roots`` places
+    single tables elsewhere.
     """
     spark: SparkSession = lines.sparkSession
     names = list(names)
@@ -56,10 +60,31 @@ def ingest_batch(
         try:
             rows = table_rows(lines, name, version_key)
             tables.append(rows, (roots or {}).get(name, root), name, fmt)
-            return name, True, None
+            return name, None
         except Exception as error:  # noqa: BLE001 - one table must not stop the others
-            return name, False, str(error).splitlines()[0]
+            return name, tables.first_line(error)
 
-    with ThreadPoolExecutor(max_workers=len(names)) as pool:
-        outcome = list(pool.map(load, names))
-    return spark.createDataFrame(outcome, REPORT)
+    def reject() -> tuple:
+        """Rejected lines to their table, and the counts of each file."""
+        try:
+            bad = envelope.quarantine(lines, version_key)
+            bad.write.mode("append").parquet(f"{root.rstrip('/')}/{QUARANTINE}")
+            counts = envelope.ingest_metrics(lines, version_key).withColumn(
+                "table", envelope.target_table(F.col("file"))
+            )
+            # One row per table.
+            found = counts.groupBy("table").agg(F.sum("processed"), F.sum("skipped")).collect()
+            return {row[0]: (row[1], row[2]) for row in found}, None
+        except Exception as error:  # noqa: BLE001
+            return {}, tables.first_line(error)
+
+    with ThreadPoolExecutor(max_workers=len(names) + 1) as pool:
+        waiting = pool.submit(reject)
+        outcome = dict(pool.map(load, names))
+        counts, failed = waiting.result()
+    report = []
+    for name in [*names, *([None] if None in counts else [])]:
+        good, bad = counts.get(name, (0, 0))
+        error = outcome.get(name) or failed
+        report.append((name, error is None, 0 if error else good, bad, error))
+    return spark.createDataFrame(report, REPORT)

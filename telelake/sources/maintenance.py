@@ -170,11 +170,11 @@ def maintain(
             dates = compact(spark, root, name, closed_before)
             report.append((name, "compacted", f"{dates} dates"))
         except Exception as error:  # noqa: BLE001 - reported per table
-            report.append((name, "compaction failed", str(error).splitlines()[0]))
+            report.append((name, "compaction failed", tables.first_line(error)))
             continue
         try:
             removed = apply_retention(spark, root, name, now, retention_hours)
             report.append((name, "expired", f"{removed} partitions"))
         except Exception as error:  # noqa: BLE001 - reported per table
-            report.append((name, "retention failed", str(error).splitlines()[0]))
+            report.append((name, "retention failed", tables.first_line(error)))
     return spark.createDataFrame(report, PLAN_REPORT)

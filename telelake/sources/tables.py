@@ -160,10 +160,16 @@ def ensure_tables(
             ensure_table(spark, root, name, fmt)
             outcome[name] = None
         except Exception as error:  # noqa: BLE001 - reported per table
-            outcome[name] = str(error).splitlines()[0]
+            outcome[name] = first_line(error)
     return outcome
 
 
+def first_line(error: BaseException) -> str:
+    """Class and first line with text of an error; Spark's may begin with empty lines."""
+    text = next((line.strip() for line in str(error).splitlines() if line.strip()), "")
+    return f"{type(error).__name__}: {text}"
+
+
 def missing_columns(df: DataFrame, required: Iterable[str]) -> Column:
     """Names of required columns that are NULL, comma separated; empty when complete."""
     names = [F.when(df[c].isNull(), F.lit(c)) for c in required]

@@ -68,5 +68,5 @@ def drain(queries: dict[str, StreamingQuery]) -> dict[str, str | None]:
             query.awaitTermination()
             outcome[name] = None
         except Exception as error:  # noqa: BLE001 - reported per table
-            outcome[name] = str(error).splitlines()[0]
+            outcome[name] = tables.first_line(error)
     return outcome
