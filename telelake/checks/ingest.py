@@ -11,6 +11,7 @@ from telelake.checks import fixtures as X
 from telelake.operators import normalize
 from telelake.session import scratch_path
 from telelake.sources import envelope, ingest, maintenance, tables
+from telelake.streaming import ingest as stream_load
 
 
 def stamp() -> Column:
@@ -198,9 +199,36 @@ def compact(spark: SparkSession, sf: str) -> DataFrame:
     root = _loaded(spark, sf, "status", lines)
     tables.append(ingest.table_rows(lines, "status"), root, "status")
     maintenance.compact(spark, root, "status", "2024-01-16")
+    # Nothing is left to do for the same dates.
+    again = maintenance.compact(spark, root, "status", "2024-01-16")
     tables.append(ingest.table_rows(lines, "status"), root, "status")
     current = maintenance.read_current(spark, root, "status")
-    return current.groupBy("service", "date", "state").agg(F.count(F.lit(1)).alias("rows"))
+    counted = current.groupBy("service", "date", "state").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.withColumn("again", F.lit(again))
+
+
+def maintain(spark: SparkSession, sf: str) -> DataFrame:
+    """Two loads, maintained after a whole one; what is left of each date."""
+    lines = X.status_lines(spark, sf)
+    root = _loaded(spark, sf, "status", lines)
+    report = ingest.ingest_batch(lines, root, names=["status"])
+    maintenance.maintain(
+        spark, root, closed_before="2024-01-22", now="2024-01-25 12:00:00", names=["status", "logs"], after=report
+    ).collect()
+    current = maintenance.read_current(spark, root, "status")
+    return current.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def apply_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """A table that a stream has written, after its old dates are deleted."""
+    path, root, marks = (scratch_path(spark, p) for p in ("staged", "lake", "checkpoint"))
+    envelope.stage(X.status_lines(spark, sf), path)
+    queries = stream_load.ingest_stream(spark, path, root, marks, names=["status"], trigger={"availableNow": True})
+    failed = [error for error in stream_load.drain(queries).values() if error]
+    if failed:
+        raise RuntimeError(failed[0])
+    maintenance.apply_retention(spark, root, "status", "2024-01-25 12:00:00", 24)
+    return X.plain(tables.read(spark, root, "status"))
 
 
 def pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,6 +253,8 @@ QUERIES = {
         compact_plan,
         retention_plan,
         compact,
+        maintain,
+        apply_retention,
         pruned_scan,
     )
 }
@@ -280,6 +310,8 @@ ORACLES = {
       WHERE small_files > 1 AND greatest((bytes + 134217727) // 134217728, 1) < files""",
     "retention_plan": f"""{_LISTING} SELECT partition, date, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes
       FROM f WHERE date < DATE '2024-01-18' GROUP BY ALL""",
-    "compact": f"""{_E}, s AS ({X.STATUS_ROWS}) SELECT service, date, state, 3 * count(*) AS rows FROM s GROUP BY ALL""",
+    "compact": f"""{_E}, s AS ({X.STATUS_ROWS}) SELECT service, date, state, 3 * count(*) AS rows, CAST(0 AS INTEGER) AS again FROM s GROUP BY ALL""",
+    "maintain": f"{_E}, s AS ({X.STATUS_ROWS}) SELECT date, 2 * count(*) AS rows FROM s WHERE date >= DATE '2024-01-18' GROUP BY date",
+    "apply_retention": f"{_E}, s AS ({X.STATUS_ROWS}) SELECT * FROM s WHERE date >= DATE '2024-01-18'",
     "pruned_scan": f"{_E}, s AS ({X.STATUS_ROWS}) SELECT * FROM s WHERE date = DATE '2024-01-15'",
 }

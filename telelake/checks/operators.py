@@ -193,18 +193,19 @@ def span_events_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- schedules
-CRONS = ["0 0 2 * * *", "0 0 */6 * * *", "0 30 9 * * 1-5", "0 0 0 1 * *", "*/10 * * * * *"]
+CRONS = ["0 0 2 * * *", "0 0 */6 * * *", "0 30 9 * * MON-Fri", "@monthly", "0 */30 * * * *"]
+BROKEN = ["*/0 * * * * *", "61 * * * * *", "0 0 0 * * mox"]
 HORIZON = ("2024-01-01", "2024-01-31")
 
 
 def schedules(spark: SparkSession, sf: str) -> DataFrame:
-    """One schedule per customer; the ten-second one is limited to an hour."""
+    """One schedule per customer."""
     case = F.col("c_custkey") % 5
     return X.table(spark, sf, "customer").select(
         X.text("job-«k»", k=F.col("c_custkey")).alias("service"),
         S.lookup(case, dict(enumerate(CRONS))).alias("cron"),
         F.lit(X.BASE_US).alias("from_us"),
-        F.when(case == 4, X.BASE_US + 3_600_000_000).otherwise(X.BASE_US + 40 * S.MICROS_PER_DAY).alias("until_us"),
+        F.lit(X.BASE_US + 40 * S.MICROS_PER_DAY).alias("until_us"),
     )
 
 
@@ -212,6 +213,17 @@ def cron_firings(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.cron_firings(schedules(spark, sf), *HORIZON)
 
 
+def cron_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh schedule cannot be read."""
+    key = F.col("c_custkey")
+    broken = S.lookup(key % 3, dict(enumerate(BROKEN)))
+    rows = X.table(spark, sf, "customer").select(
+        X.text("job-«k»", k=key).alias("service"),
+        F.when(key % 7 == 0, broken).otherwise(S.lookup(key % 5, dict(enumerate(CRONS)))).alias("cron"),
+    )
+    return schedule.cron_rejects(rows)
+
+
 def cron_runs(spark: SparkSession, sf: str) -> DataFrame:
     polls = X.events(spark, sf).select(
         X.text("job-«u»", u=F.col("user_id")).alias("service"), F.col("us").alias("poll_us")
@@ -274,6 +286,9 @@ def snapshot(spark: SparkSession, sf: str, new: bool) -> DataFrame:
         name.alias("name"),
         image.alias("image"),
         F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey")).alias("memory"),
+        # The order of a map's entries is no difference.
+        F.create_map(*[x for k in (("a", "b") if new else ("b", "a")) for x in (F.lit(k), F.col("c_mktsegment"))]).alias("env"),
+        F.array(F.col("c_nationkey"), F.lit(80).cast("bigint")).alias("ports"),
     )
 
 
@@ -290,7 +305,8 @@ def service_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ALLOWED = {
-    "": ["service", "agent", "proxy"],
+    "": ["service", "agent", "proxy", "port"],
+    "port[]": ["host", "target"],
     "service": ["name", "image", "memory"],
     "agent": ["watch", "cron"],
 }
@@ -305,7 +321,7 @@ def strict_keys(spark: SparkSession, sf: str) -> DataFrame:
         s=extra(1, ',"colour":"red"'),
         g=extra(2, '"agents":1,'),
         a=extra(1, ',"color":1'),
-        r=extra(3, ',"proxy":{"any":1}'),
+        r=F.when(case == 3, ',"proxy":{"any":1}').otherwise(extra(0, ',"port":[{"host":1},{"target":2,"bogus":3}]')),
         t=F.lit(""),
     )
     doc = F.when(case == 4, F.substring(doc, F.lit(1), F.length(doc) - 1)).otherwise(doc)
@@ -337,6 +353,7 @@ QUERIES = {
         span_orphans,
         cron_firings,
         cron_runs,
+        cron_rejects,
         duplicate_services,
         layered_vars,
         preferred_proxy,
@@ -372,7 +389,7 @@ cron AS (SELECT 0 AS c, us + 7200000000 AS t0 FROM base
   UNION ALL SELECT 1, us + unnest([0, 6, 12, 18]) * 3600000000 FROM base
   UNION ALL SELECT 2, us + 34200000000 FROM base WHERE dayofweek(d) BETWEEN 1 AND 5
   UNION ALL SELECT 3, us FROM base WHERE day(d) = 1
-  UNION ALL SELECT 4, {X.BASE_US} + unnest(range(360)) * 10000000),
+  UNION ALL SELECT 4, us + unnest(range(48)) * 1800000000 FROM base),
 firing AS (SELECT 'job-' || c_custkey AS service, CAST(t0 AS BIGINT) AS firing_us FROM customer JOIN cron ON c_custkey % 5 = c)"""
 _PROXY = """px AS (SELECT 'h' || (c_custkey // 3) AS host, c_custkey AS position,
   CASE WHEN c_nationkey % 4 = 0 THEN '/certs/' || c_custkey || '.pem' END AS cert_file,
@@ -429,6 +446,7 @@ ORACLES = {
     "cron_firings": f"WITH {_FIRINGS} SELECT * FROM firing",
     "cron_runs": f"""WITH {_FIRINGS}, {X.E}, poll AS (SELECT 'job-' || user_id AS service, us AS poll_us FROM e)
       SELECT DISTINCT f.service, p.poll_us FROM firing f ASOF JOIN poll p ON f.service = p.service AND f.firing_us <= p.poll_us""",
+    "cron_rejects": f"""SELECT 'job-' || c_custkey AS service, {BROKEN!r}[1 + c_custkey % 3] AS cron FROM customer WHERE c_custkey % 7 = 0""",
     "duplicate_services": """WITH s AS (SELECT CASE WHEN c_acctbal < 0 THEN 'shared' WHEN c_nationkey = 7 THEN c_mktsegment ELSE c_name END AS name,
         '/srv/' || c_custkey AS path FROM customer)
       SELECT name, path, uses FROM s JOIN (SELECT name, count(*) AS uses FROM s GROUP BY name HAVING count(*) > 1) USING (name)""",
@@ -453,8 +471,8 @@ ORACLES = {
       d AS (SELECT host, CAST(sign(left_s) * (abs(left_s) // 86400) AS BIGINT) AS days_left FROM pref LEFT JOIN ct USING (host)
         WHERE cert_file IS NULL AND key_file IS NULL)
       SELECT * FROM d WHERE days_left IS NULL OR days_left < 30""",
-    "strict_keys": """SELECT c_name AS name, CASE c_custkey % 5 WHEN 1 THEN 'agent.color,service.colour' WHEN 2 THEN 'agents' ELSE '' END AS unknown,
-      c_custkey % 5 IN (0, 3) AS accepted FROM customer""",
+    "strict_keys": """SELECT c_name AS name, CASE c_custkey % 5 WHEN 1 THEN 'agent.color,service.colour' WHEN 2 THEN 'agents'
+      WHEN 0 THEN 'port[].bogus' ELSE '' END AS unknown, c_custkey % 5 = 3 AS accepted FROM customer""",
     "attribute_lookup": f"""{_L} SELECT timestamp, regexp_extract(attributes, '"k":"?([^"}}]+)', 1) AS k,
       regexp_extract(resource, ':"?([^"}}]+)', 1) AS named FROM l""",
     "span_events_flat": f"""{_P} SELECT trace_id, span_id, start_time + 5 AS timestamp, 'heavy' AS name,

@@ -60,7 +60,7 @@ def stream_digest(spark: SparkSession, sf: str) -> DataFrame:
     observations = digest_observations(spark, sf)
     middle = X.BASE_US + 15 * 86_400_000_000
     for part in (F.col("ts_us") < middle, F.col("ts_us") >= middle):
-        observations.where(part).coalesce(1).write.mode("append").json(source)
+        observations.where(part).write.mode("append").json(source)
         query = stream_changes.digest_stream(spark, source, target, marks, trigger=ONCE)
         _drain({"digest": query})
     return spark.read.parquet(target).select("image", "ts_us", "digest", "previous", "outcome")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telelake.functions import scalars as S
 from telelake.plans.running import with_running
@@ -53,15 +54,38 @@ def digest_changes(
     return tracked.withColumn("outcome", outcome).drop("_nth")
 
 
+def comparable(value: Column, kind: T.DataType) -> Column:
+    """The same value in a form that can be compared: maps become sorted lists of pairs."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(
+                comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value")
+            ),
+        )
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[comparable(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    return value
+
+
 def config_diff(new: DataFrame, old: DataFrame, key: str = "name") -> DataFrame:
     """``(name, action)`` for two snapshots with the same columns and unique names.
 
     ``recreate``: any field differs; ``keep``: all equal, NULLs included; ``start``:
-    only in the new snapshot; ``remove``: only in the old one.
+    only in the new snapshot; ``remove``: only in the old one. Fields may be maps, lists
+    and structs: the order of a map's entries does not count, that of a list does.
     """
     fields = [c for c in new.columns if c != key]
-    left = new.select(key, F.struct(*fields).alias("_new"))
-    right = old.select(key, F.struct(*fields).alias("_old"))
+
+    def whole(df: DataFrame) -> Column:
+        return F.struct(*[comparable(F.col(c), df.schema[c].dataType).alias(c) for c in fields])
+
+    left = new.select(key, whole(new).alias("_new"))
+    right = old.select(key, whole(old).alias("_old"))
     action = (
         F.when(F.col("_old").isNull(), "start")
         .when(F.col("_new").isNull(), "remove")

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telelake.plans.joins import skew_join
 
-
-def logs_with_spans(logs: DataFrame, spans: DataFrame, how: str = "inner", **skew) -> DataFrame:
+def logs_with_spans(logs: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
     """Log rows with name, kind and duration of the span they were written in.
 
     Logs without ids match nothing; for an inner join they are dropped before the
@@ -23,14 +21,15 @@ def logs_with_spans(logs: DataFrame, spans: DataFrame, how: str = "inner", **ske
     )
     if how == "inner":
         logs = logs.where("trace_id is not null and span_id is not null")
-    return skew_join(logs, side, keys, how, **skew)
+    return logs.join(side, keys, how)
 
 
 def span_children(spans: DataFrame) -> DataFrame:
     """Every span with its number of children and the time not spent in them.
 
     Children are counted before the join, so a span with very many of them arrives as
-    one row per task.
+    one row per task. Spans without an id can have none and take no part in the join,
+    where they would all be one key.
     """
     below = (
         spans.where("parent_span_id is not null")
@@ -38,20 +37,25 @@ def span_children(spans: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("duration_ms").alias("_ms"))
     )
     own = spans.select("trace_id", "span_id", "duration_ms")
-    joined = own.join(below, ["trace_id", "span_id"], "left")
-    return joined.select(
+    named = F.coalesce((F.col("trace_id") != "") & (F.col("span_id") != ""), F.lit(False))
+    childless = own.where(~named).select(
+        "trace_id", "span_id", F.lit(0).cast("bigint").alias("children"), F.col("duration_ms").alias("self_ms")
+    )
+    joined = own.where(named).join(below, ["trace_id", "span_id"], "left")
+    counted = joined.select(
         "trace_id",
         "span_id",
         F.coalesce("_n", F.lit(0)).alias("children"),
         (F.col("duration_ms") - F.coalesce("_ms", F.lit(0))).alias("self_ms"),
     )
+    return counted.unionByName(childless)
 
 
-def span_orphans(spans: DataFrame, **skew) -> DataFrame:
+def span_orphans(spans: DataFrame) -> DataFrame:
     """Spans that name a parent which is not in the table."""
     parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()
     claims = spans.where("parent_span_id is not null")
-    return skew_join(claims, parents, ["trace_id", "parent_span_id"], "left_anti", **skew)
+    return claims.join(parents, ["trace_id", "parent_span_id"], "left_anti")
 
 
 def attribute(column: str, key: str) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telelake.functions.scalars import lookup
-from telelake.plans.joins import skew_join
 
 # Dependency conditions and their accepted spellings.
 CONDITIONS = {
@@ -35,14 +34,14 @@ def edges(services: DataFrame) -> DataFrame:
     return listed.select("service", F.col("key").alias("target"), lookup(F.col("value"), CONDITIONS).alias("condition"))
 
 
-def prune_dependencies(services: DataFrame, **skew) -> DataFrame:
+def prune_dependencies(services: DataFrame) -> DataFrame:
     """Remove dependencies on services that are not loaded.
 
-    A target that very many services depend on is spread over several tasks; the
+    A target that very many services depend on is split by adaptive execution; the
     lists gathered at the end are no longer than the maps they came from.
     """
     loaded = services.select(F.col("name").alias("target")).distinct()
-    kept = skew_join(edges(services), loaded, ["target"], "left_semi", **skew)
+    kept = edges(services).join(loaded, "target", "left_semi")
     entries = kept.groupBy("service").agg(
         F.map_from_entries(F.collect_list(F.struct("target", "condition"))).alias("_kept")
     )
@@ -73,14 +72,14 @@ def latest_status(status: DataFrame) -> DataFrame:
     )
 
 
-def dependency_gate(services: DataFrame, latest: DataFrame, **skew) -> DataFrame:
+def dependency_gate(services: DataFrame, latest: DataFrame) -> DataFrame:
     """``(service, ready, waiting)``: whether every dependency condition holds.
 
     A service without dependencies is ready; one with a dependency of unknown status
     is not.
     """
     status = latest.withColumnRenamed("service", "target")
-    known = skew_join(edges(services), status, ["target"], "left", **skew)
+    known = edges(services).join(status, "target", "left")
     situation, condition = F.col("situation"), F.col("condition")
     holds = (
         F.when(condition == "started", situation == RUNNING)

@@ -7,17 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telelake.plans.joins import skew_join
 
-
-def duplicate_services(services: DataFrame, **skew) -> DataFrame:
+def duplicate_services(services: DataFrame) -> DataFrame:
     """``(name, path, uses)``: every path of a name that is used more than once.
 
     One row per path rather than one list per name, so a name used without bound
     stays distributed.
     """
     uses = services.groupBy("name").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    return skew_join(services.select("name", "path"), uses, ["name"], "inner", **skew)
+    return services.select("name", "path").join(uses, "name")
 
 
 def layered_vars(layers: DataFrame) -> DataFrame:
@@ -41,18 +39,34 @@ def _prefixed(names: Column, prefix: str) -> Column:
     return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
 
 
+def _field(path: str):
+    return lambda text: F.get_json_object(text, path)
+
+
 def unknown_keys(text: Column, allowed: Mapping[str, Sequence[str]]) -> Column:
     """Keys of a JSON document outside the allowed ones, as ``path.key``.
 
-    ``allowed`` maps a dotted path (``""`` for the root) to the keys known there;
-    absent objects pass.
+    ``allowed`` maps a dotted path (``""`` for the root) to the keys known there. A part
+    that ends in ``[]`` stands for the elements of a list: ``proxy.port[]``. Absent
+    objects and lists pass, and so do elements that are no objects.
     """
+    none = F.array().cast("array<string>")
     found = []
     for path, keys in allowed.items():
-        level = text if path == "" else F.get_json_object(text, f"$.{path}")
-        extra = F.array_except(F.json_object_keys(level), F.array(*[F.lit(k) for k in keys]))
+        levels = F.array(text)
+        for part in path.split(".") if path else ():
+            name = part.removesuffix("[]")
+            levels = F.transform(levels, _field(f"$.{name}"))
+            if part.endswith("[]"):
+                # An element is kept as its own JSON text, whatever it is.
+                items = F.transform(levels, lambda t: F.coalesce(F.from_json(t, "array<string>"), none))
+                levels = F.flatten(items)
+        known = F.array(*[F.lit(k) for k in keys])
+        extra = F.flatten(
+            F.transform(levels, lambda t: F.coalesce(F.array_except(F.json_object_keys(t), known), none))
+        )
         prefix = f"{path}." if path else ""
-        found.append(F.coalesce(_prefixed(extra, prefix), F.array().cast("array<string>")))
+        found.append(_prefixed(F.array_distinct(extra), prefix))
     return F.concat(*found)
 
 

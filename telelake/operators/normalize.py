@@ -224,10 +224,7 @@ def enrich_deployments(creations: DataFrame, configs: DataFrame, images: DataFra
     ``configs(service, image, restart, memory, cpus, proxy, ports, volumes, networks)``
     and ``images(image_id, size, repo_digests)`` are keyed by service and by image.
     """
-    from telelake.plans.joins import skew_join
-
-    joined = skew_join(creations, configs, ["service"], "inner")
-    joined = skew_join(joined, images, ["image_id"], "left")
+    joined = creations.join(configs, "service").join(images, "image_id", "left")
     created = F.coalesce(S.rfc3339_micros(F.col("created")), F.col("observed_us"))
     first_digest = F.get(F.col("repo_digests"), F.lit(0))
     size = F.coalesce(F.col("size"), F.lit(0).cast("bigint"))

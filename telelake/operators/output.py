@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telelake.functions import scalars as S
-from telelake.plans.joins import skew_join
 from telelake.plans.running import with_running
 
 # Captured streams, line cap in bytes and truncation mark.
@@ -96,7 +95,7 @@ def increment(parsed: DataFrame, marks: DataFrame, now_s: int) -> DataFrame:
     """
     second = F.floor(F.col("timestamp_us") / 1_000_000)
     upper = parsed.where(second <= now_s - 1)
-    marked = skew_join(upper, marks, ["service"], "left")
+    marked = upper.join(marks, "service", "left")
     return marked.where(second >= F.coalesce("mark", F.lit(0))).drop("mark")
 
 

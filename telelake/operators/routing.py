@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telelake.functions import scalars as S
-from telelake.plans.joins import skew_join
 
 
 def route_prefixes(path: Column) -> Column:
@@ -20,26 +19,30 @@ def route_prefixes(path: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("/"), path), heads))
 
 
-def route_join(requests: DataFrame, routes: DataFrame, **skew) -> DataFrame:
-    """Resolve ``requests(host, path, …)``, rows distinct by some id, against ``routes(host, path, service)``.
+def route_join(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """Resolve ``requests(host, path, …)`` against ``routes(host, path, service)``.
 
-    A prefix match is turned into an equality: each request offers the route paths
-    that can match it and joins them by (host, path). Unmatched requests keep a NULL
-    service. Equal routes of one host are decided by service name.
+    Adds ``route`` and ``service``; every request row stays a row of its own, whatever its
+    columns are. A host's routes, bounded by its configuration, become one map, so there
+    is one join per host, and a request looks up the route paths that match it from the
+    longest to ``/``. Unmatched requests keep NULL. Equal routes of one host are decided
+    by service name.
     """
     table = (
         routes.select("host", S.normal_path(F.col("path")).alias("route"), "service")
-        .groupBy("host", "route")
-        .agg(F.min("service").alias("service"))
+        .groupBy("host")
+        .agg(F.array_sort(F.collect_list(F.struct("route", "service"))).alias("_all"))
     )
-    path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
-    offers = requests.withColumn("route", F.explode(route_prefixes(path)))
-    matches = skew_join(offers, table, ["host", "route"], "left", **skew)
-    # Offers of a request start out in one task, so they are merged before the shuffle.
-    length = F.when(F.col("service").isNotNull(), F.octet_length("route"))
-    best = matches.groupBy(*requests.columns).agg(
-        F.max_by(F.struct("route", "service"), length).alias("_best")
+    # Sorted by route and service, the first of equal routes counts.
+    first = F.filter(
+        "_all", lambda e, i: (i == 0) | ~F.coalesce(F.get(F.col("_all"), i - 1)["route"] == e["route"], F.lit(False))
     )
-    return best.select(
-        *requests.columns, F.col("_best.route").alias("route"), F.col("_best.service").alias("service")
+    table = table.select("host", F.map_from_entries(first).alias("_routes"))
+    path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
+    longest = F.array_sort(
+        F.array_compact(route_prefixes(path)), lambda a, b: (F.length(b) - F.length(a)).cast("int")
     )
+    known = F.filter(longest, lambda p: F.coalesce(F.map_contains_key("_routes", p), F.lit(False)))
+    found = requests.join(table, "host", "left").withColumn("route", F.get(known, F.lit(0)))
+    service = F.element_at("_routes", F.col("route"))
+    return found.select(*requests.columns, "route", service.alias("service"))

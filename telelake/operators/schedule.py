@@ -19,25 +19,80 @@ _YEARS = (1970, 2100)
 _HOUR_US = 3_600_000_000
 
 
+# Names inside fields and shorthands for whole schedules.
+_NAMES = {
+    "month": "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "weekday": "sun mon tue wed thu fri sat".split(),
+}
+SHORTHANDS = {
+    "@yearly": "0 0 0 1 1 *",
+    "@annually": "0 0 0 1 1 *",
+    "@monthly": "0 0 0 1 * *",
+    "@weekly": "0 0 0 * * sun",
+    "@daily": "0 0 0 * * *",
+    "@midnight": "0 0 0 * * *",
+    "@hourly": "0 0 * * * *",
+}
+_NUMBER = r"^\d{1,4}$"
+
+
 def field_values(text: Column, low: int, high: int) -> Column:
-    """Numbers selected by one cron field: ``*``, ``a``, ``a-b``, with ``/n``, in lists."""
+    """Numbers selected by one cron field: ``*``, ``a``, ``a-b``, with ``/n``, in lists.
+
+    NULL if any part cannot be read or leaves ``low`` to ``high``.
+    """
+
+    def number(item: Column) -> Column:
+        return F.when(item.rlike(_NUMBER), item).try_cast("int")
 
     def part(item: Column) -> Column:
         base = F.substring_index(item, "/", 1)
         stepped = F.contains(item, F.lit("/"))
-        step = F.when(stepped, F.substring_index(item, "/", -1).cast("int")).otherwise(1)
-        start = F.when(base.isin("*", "?"), F.lit(low)).otherwise(
-            F.substring_index(base, "-", 1).try_cast("int")
-        )
+        whole = base.isin("*", "?")
+        ranged = F.contains(base, F.lit("-"))
+        step = F.when(stepped, number(F.substring(item, F.length(base) + 2, F.length(item)))).otherwise(1)
+        start = F.when(whole, F.lit(low)).otherwise(number(F.substring_index(base, "-", 1)))
         # A single start with a step runs to the end of the field's range.
         stop = (
-            F.when(base.isin("*", "?"), F.lit(high))
-            .when(F.contains(base, F.lit("-")), F.substring_index(base, "-", -1).try_cast("int"))
+            F.when(whole, F.lit(high))
+            .when(ranged, number(F.substring(base, F.length(F.substring_index(base, "-", 1)) + 2, F.length(base))))
             .otherwise(F.when(stepped, F.lit(high)).otherwise(start))
         )
-        return F.sequence(start, stop, step)
+        sound = (step > 0) & (start >= low) & (stop <= high) & (start <= stop)
+        return F.when(sound, F.sequence(F.when(sound, start), F.when(sound, stop), F.when(sound, step)))
+
+    parts = F.transform(F.split(text, ","), part)
+    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_distinct(F.flatten(parts)))
+
+
+def _parsed(schedules: DataFrame, first_weekday: int) -> DataFrame:
+    """Schedules with the numbers of each field; ``_readable`` is false if one has none."""
+    plain = F.lower(F.trim("cron"))
+    known = F.create_map(*[F.lit(x) for pair in SHORTHANDS.items() for x in pair])
+    fields = F.split(F.coalesce(F.try_element_at(known, plain), plain), r"\s+")
+    parsed = schedules
+    for i, (name, (low, high)) in enumerate(_BOUNDS.items()):
+        shift = first_weekday if name == "weekday" else 0
+        text = F.get(fields, F.lit(i))
+        for place, word in enumerate(_NAMES.get(name, ())):
+            text = F.regexp_replace(text, rf"\b{word}\b", str(place + (1 if name == "month" else shift)))
+        # Counted from 0, Sunday is 7 as well.
+        top = high + shift + (1 if name == "weekday" and not first_weekday else 0)
+        values = field_values(text, low + shift, top)
+        if top > high + shift:
+            values = F.array_distinct(F.transform(values, lambda v: v % 7))
+        parsed = parsed.withColumn(f"_{name}", values)
+    year = F.get(fields, F.lit(6))
+    parsed = parsed.withColumn("_year", F.when(year.isNotNull(), field_values(year, *_YEARS)))
+    readable = F.size(fields).isin(6, 7) & (year.isNull() | F.col("_year").isNotNull())
+    for name in _BOUNDS:
+        readable = readable & F.col(f"_{name}").isNotNull()
+    return parsed.withColumn("_readable", F.coalesce(readable, F.lit(False)))
+
 
-    return F.array_distinct(F.flatten(F.transform(F.split(text, ","), part)))
+def cron_rejects(schedules: DataFrame, first_weekday: int = 0) -> DataFrame:
+    """The rows of ``schedules`` whose expression cannot be read; they never fire."""
+    return _parsed(schedules, first_weekday).where(~F.col("_readable")).select(*schedules.columns)
 
 
 def cron_firings(
@@ -53,18 +108,10 @@ def cron_firings(
     Firings lie in ``[from_us, until_us)`` when the row has these columns, and always
     in ``[start, end)``. Days are expanded first and filtered, then hours, minutes and
     seconds of the selected days only; no step lists more than a day's worth of values.
-    ``first_weekday`` is the number of Sunday.
+    ``first_weekday`` is the number of Sunday; names of days mean the same in either
+    numbering. Unreadable expressions fire never and are listed by :func:`cron_rejects`.
     """
-    fields = F.split(F.trim("cron"), r"\s+")
-    names = list(_BOUNDS)
-    parsed = schedules
-    for i, name in enumerate(names):
-        low, high = _BOUNDS[name]
-        shift = first_weekday if name == "weekday" else 0
-        values = field_values(F.get(fields, F.lit(i)), low + shift, high + shift)
-        parsed = parsed.withColumn(f"_{name}", values)
-    year = F.get(fields, F.lit(6))
-    parsed = parsed.withColumn("_year", F.when(year.isNotNull(), field_values(year, *_YEARS)))
+    parsed = _parsed(schedules, first_weekday).where("_readable")
 
     day = F.col("_date")
     days = parsed.withColumn(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telelake.operators.changes import classify, digest_changes, observed_digest
-from telelake.plans.joins import skew_join
 from telelake.session import materialize
 from telelake.sources.tables import exists, hadoop_path
 
@@ -70,7 +69,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 def _label(batch: DataFrame, known: DataFrame) -> DataFrame:
     fresh = digest_changes(observed_digest(batch))
     seen = known.withColumn("_seen", F.lit(True))
-    joined = skew_join(fresh, seen, ["image"], "left")
+    joined = fresh.join(seen, "image", "left")
     previous = F.coalesce("previous", "known")
     first = (F.col("outcome") == "Baseline") & F.col("_seen").isNull()
     return joined.select(

@@ -103,7 +103,7 @@ def test_nested_attributes_take_the_python_branch(spark):
     rows = ingest.table_rows(lines(spark, "logs.jsonl", request, LOG), "logs").collect()
     assert sorted(r.body for r in rows) == ["test log message", '{"a":1.5}']
     assert [r.attributes for r in rows if r.attributes] == ['{"deep":[1,[]]}']
-    plain = normalize.logs(envelope.decode(lines(spark, "logs.jsonl", LOG), "LogBatch"), nested=False)
+    plain = normalize.logs(envelope.decode(lines(spark, "logs.jsonl", LOG), "LogBatch", nested=False), nested=False)
     assert "Python" not in plain._jdf.queryExecution().executedPlan().toString()
     strict = normalize.logs(envelope.decode(lines(spark, "logs.jsonl", request), "LogBatch"), nested=False)
     with pytest.raises(Exception, match="nested attribute value"):
@@ -209,8 +209,52 @@ def test_compaction_keeps_rows_and_merges_files(spark, tmp_path):
     # Late rows of a compacted date are read as well, and a second run takes only them.
     tables.append(rows, root, "status")
     assert maintenance.read_current(spark, root, "status").count() == len(before) * 4 // 3
+    assert maintenance.compact(spark, root, "status", "2025-01-01") == 0
+    for _ in range(2):
+        tables.append(rows, root, "status")
+    assert maintenance.compact(spark, root, "status", "2025-01-01") > 0
+    assert maintenance.compact(spark, root, "status", "2025-01-01") == 0
+    # Replaced files go after a time of grace, and reading takes fewer files than before.
+    expected = sorted(map(str, maintenance.read_current(spark, root, "status").collect()))
+    assert len(expected) == len(before) * 2
+    assert maintenance.remove_replaced(spark, root, "status", "2020-01-01") == 0
+    assert maintenance.remove_replaced(spark, root, "status", "2100-01-01") == 2 * live
+    assert data_files(tmp_path / "status") == []
+    assert sorted(map(str, maintenance.read_current(spark, root, "status").collect())) == expected
+    assert maintenance.compact(spark, root, "status", "2025-01-01") == 0
+
+
+def test_uncommitted_runs_are_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    rows = ingest.table_rows(X.status_lines(spark, SF), "status")
+    for _ in range(2):
+        tables.append(rows, root, "status")
+    count = tables.read(spark, root, "status").count()
     maintenance.compact(spark, root, "status", "2025-01-01")
-    assert maintenance.read_current(spark, root, "status").count() == len(before) * 4 // 3
+    rows.write.partitionBy("service", "date").parquet(str(tmp_path / "status-compacted" / "run=broken"))
+    assert maintenance.read_current(spark, root, "status").count() == count
+
+
+def test_retention_of_a_table_that_a_stream_writes(spark, tmp_path):
+    staged, root, marks = (str(tmp_path / p) for p in ("staged", "lake", "marks"))
+    envelope.stage(X.status_lines(spark, SF), staged)
+    queries = stream_load.ingest_stream(spark, staged, root, marks, names=["status"], trigger={"availableNow": True})
+    assert stream_load.drain(queries) == {"status": None}
+    late = "date >= '2024-01-13'"
+    kept = tables.read(spark, root, "status").where(late).count()
+    assert 0 < kept < tables.read(spark, root, "status").count()
+    assert maintenance.apply_retention(spark, root, "status", "2024-01-20 00:00:00", 1) > 0
+    assert tables.read(spark, root, "status").count() == kept
+    assert not [f for f in os.listdir(tmp_path / "lake" / "status") if "2024-01-12" in f]
+
+
+def test_maintenance_waits_for_a_whole_load(spark, tmp_path):
+    report = spark.createDataFrame([("status", True), ("logs", False)], "table string, ok boolean")
+    options = {"closed_before": "2024-01-01", "now": "2024-01-20 00:00:00", "names": ["status"]}
+    assert [r.action for r in maintenance.maintain(spark, str(tmp_path), after=report, **options).collect()] == ["skipped"]
+    assert [r.action for r in maintenance.maintain(spark, str(tmp_path), after=report.where("ok"), **options).collect()] == ["missing"]
+    with pytest.raises(ValueError, match="delta"):
+        maintenance.maintain(spark, str(tmp_path), fmt="delta", **options)
 
 
 def test_maintenance_skips_missing_tables_and_expires_dates(spark, tmp_path):
@@ -221,7 +265,7 @@ def test_maintenance_skips_missing_tables_and_expires_dates(spark, tmp_path):
         spark, root, closed_before="2024-01-01", now="2024-01-20 00:00:00", retention_hours=1, names=["status", "logs"]
     )
     actions = {(r.table, r.action) for r in report.collect()}
-    assert actions == {("status", "compacted"), ("status", "expired"), ("logs", "missing")}
+    assert actions == {("status", "compacted"), ("status", "cleaned"), ("status", "expired"), ("logs", "missing")}
     # 168 hours are kept whatever was asked for.
     left = tables.read(spark, root, "status").agg(F.min("date").cast("string")).first()[0]
     assert left == "2024-01-13"

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from telelake.operators import changes, correlate, dependencies, layers, output, routing, schedule, slots
 
-FORCE = {"hot_rows": 5, "sample": 1.0}
-
 
 def test_routes(spark):
     routes = spark.createDataFrame(
@@ -19,10 +17,18 @@ def test_routes(spark):
         [("example.com", p) for p in cases] + [("other.com", "/x"), ("other.com", "/api/x"), ("none.com", "/")],
         "host string, path string",
     )
-    for skew in ({}, FORCE):
-        found = {(r.host, r.path): r.service for r in routing.route_join(requests, routes, **skew).collect()}
-        assert {p: found["example.com", p] for p in cases} == cases
-        assert (found["other.com", "/x"], found["other.com", "/api/x"], found["none.com", "/"]) == (None, "9", None)
+    found = {(r.host, r.path): r.service for r in routing.route_join(requests, routes).collect()}
+    assert {p: found["example.com", p] for p in cases} == cases
+    assert (found["other.com", "/x"], found["other.com", "/api/x"], found["none.com", "/"]) == (None, "9", None)
+
+
+def test_equal_requests_stay_rows(spark):
+    routes = spark.createDataFrame([("h", "/", "s")], "host string, path string, service string")
+    requests = spark.createDataFrame([("h", "/a", {"k": 1})] * 3 + [(None, None, None)], "host string, path string, m map<string,int>")
+    joined = routing.route_join(requests, routes)
+    assert [r.service for r in joined.orderBy("service").collect()] == [None, "s", "s", "s"]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Generate" not in plan
 
 
 def test_routing_needs_no_nested_loop(spark):
@@ -67,14 +73,14 @@ def test_pruning_and_gate_with_a_shared_target(spark):
         + [("db", {}), ("job", {"s1": "completed", "s2": "Started"})],
         "name string, depends_on map<string,string>",
     )
-    pruned = {r.name: r.depends_on for r in dependencies.prune_dependencies(services, **FORCE).collect()}
+    pruned = {r.name: r.depends_on for r in dependencies.prune_dependencies(services).collect()}
     assert pruned["s3"] == {"db": "healthy"} and pruned["db"] == {}
     assert pruned["job"] == {"s1": "completed", "s2": "started"}
     latest = spark.createDataFrame(
         [("db", "running", "none", None), ("s1", "exited", None, 0), ("s2", "exited", None, 0)],
         "service string, situation string, health string, exit_code int",
     )
-    gate = dependencies.dependency_gate(dependencies.prune_dependencies(services), latest, **FORCE)
+    gate = dependencies.dependency_gate(dependencies.prune_dependencies(services), latest)
     ready = {r.service: (r.ready, r.waiting) for r in gate.collect()}
     assert ready["s3"] == (True, 0) and ready["db"] == (True, 0) and ready["job"] == (False, 1)
 
@@ -115,6 +121,20 @@ def test_cron_expressions(spark):
     assert firings(spark, "0 0 2 15 1 *", timezone="Europe/Berlin") == ["2024-01-15 01:00:00"]
 
 
+def test_cron_names_and_shorthands(spark):
+    assert firings(spark, "0 30 9 * * MON-FRI", end="2024-01-08") == firings(spark, "0 30 9 * * 1-5", end="2024-01-08")
+    assert len(firings(spark, "0 0 0 * JAN Mon")) == 5 and firings(spark, "0 0 0 * * 7") == firings(spark, "0 0 0 * * sun")
+    assert firings(spark, "0 0 0 * * sun", first_weekday=1) == firings(spark, "0 0 0 * * 1", first_weekday=1)
+    assert firings(spark, "@daily") == firings(spark, "0 0 0 * * *") and len(firings(spark, "@hourly", end="2024-01-02")) == 24
+
+
+def test_unreadable_schedules_are_listed(spark):
+    bad = ["*/x * * * * *", "*/0 * * * * *", "61 * * * * *", "* * *", "", None, "0 0 0 * * mox", "5-1 * * * * *", "@never", "-1 * * * * *"]
+    df = spark.createDataFrame([(str(i), c) for i, c in enumerate([*bad, "0 0 0 1 * *"])], "service string, cron string")
+    assert sorted(int(r.service) for r in schedule.cron_rejects(df).collect()) == list(range(len(bad)))
+    assert {r.service for r in schedule.cron_firings(df, "2024-01-01", "2024-02-02").collect()} == {str(len(bad))}
+
+
 def test_runs_collapse_between_polls(spark):
     fired = spark.createDataFrame([("s", t) for t in (10, 20, 30, 55)] + [("t", 5)], "service string, firing_us bigint")
     polls = spark.createDataFrame([("s", t) for t in (5, 20, 45, 50)], "service string, poll_us bigint")
@@ -124,7 +144,7 @@ def test_runs_collapse_between_polls(spark):
 
 def test_duplicates_with_one_dominant_name(spark):
     df = spark.createDataFrame([("x", str(i)) for i in range(40)] + [("y", "p")], "name string, path string")
-    found = layers.duplicate_services(df, **FORCE).collect()
+    found = layers.duplicate_services(df).collect()
     assert len(found) == 40 and {r.uses for r in found} == {40}
 
 
@@ -136,6 +156,21 @@ def test_strict_keys(spark):
     assert [found[d] for d in docs] == [(True, ""), (False, "service.x"), (False, "x"), (False, ""), (False, "agent.y")]
 
 
+def test_strict_keys_inside_lists(spark):
+    allowed = {"": ["port"], "port[]": ["host", "map"], "port[].map[]": ["k"]}
+    docs = ['{"port":[{"host":1,"bogus":2},{"host":1},"text"]}', '{"port":[]}', '{"port":[{"map":[{"k":1},{"z":1}]}]}', '{"port":{"host":1}}']
+    df = spark.createDataFrame([(d,) for d in docs], "doc string")
+    found = {r.doc: (r.accepted, r.unknown) for r in layers.strict_keys(df, "doc", allowed).collect()}
+    assert [found[d] for d in docs[:3]] == [(False, "port[].bogus"), (True, ""), (False, "port[].map[].z")]
+
+
+def test_snapshot_diff_of_maps_and_lists(spark):
+    kind = "name string, env map<string,string>, ports array<int>, deep struct<m:map<string,array<int>>>"
+    new = spark.createDataFrame([("a", {"x": "1", "y": "2"}, [1, 2], ({"k": [1]},)), ("b", {"x": "1"}, [1], None), ("c", None, [1, 2], None)], kind)
+    old = spark.createDataFrame([("a", {"y": "2", "x": "1"}, [1, 2], ({"k": [1]},)), ("b", {"x": "2"}, [1], None), ("c", None, [2, 1], None)], kind)
+    assert {r.name: r.action for r in changes.config_diff(new, old).collect()} == {"a": "keep", "b": "recreate", "c": "recreate"}
+
+
 def test_snapshot_diff_compares_nulls(spark):
     new = spark.createDataFrame([("a", None, 1), ("b", "x", 1), ("c", None, 1)], "name string, f string, g int")
     old = spark.createDataFrame([("a", None, 1), ("b", None, 1), ("d", "x", 2)], "name string, f string, g int")
@@ -183,11 +218,16 @@ def test_orphans_of_one_missing_parent(spark):
         [("t", f"s{i}", "lost", 1) for i in range(30)] + [("t", "root", None, 9), ("t", "kid", "root", 4)],
         "trace_id string, span_id string, parent_span_id string, duration_ms bigint",
     )
-    assert correlate.span_orphans(spans, **FORCE).count() == 30
+    assert correlate.span_orphans(spans).count() == 30
     found = {r.span_id: (r.children, r.self_ms) for r in correlate.span_children(spans).collect()}
     assert found["root"] == (1, 5) and found["kid"] == (0, 4)
 
 
+def test_spans_without_ids_share_no_join_key(spark):
+    spans = spark.createDataFrame([("", "", None, 3)] * 5 + [("t", "a", None, 9)], "trace_id string, span_id string, parent_span_id string, duration_ms bigint")
+    assert sorted(tuple(r) for r in correlate.span_children(spans).collect()) == [("", "", 0, 3)] * 5 + [("t", "a", 0, 9)]
+
+
 def test_path_filter(spark):
     df = spark.createDataFrame([("a/b",), ("b",), ("ab",), ("/x/a/b",)], "path string")
     assert {r.path for r in changes.service_filter(df, ["b"]).collect()} == {"a/b", "b", "/x/a/b"}

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from telelake.plans.joins import skew_join
 from telelake.plans.running import with_running
 
 
@@ -53,21 +52,3 @@ def test_running_values_backwards(spark):
         state[key] = v if v is not None else state.get(key)
         expected[i] = state[key]
     assert found == expected
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_split_keys_join_like_whole_ones(spark, how):
-    left = spark.createDataFrame(observations(), "i int, key string, at int, v int")
-    right = spark.createDataFrame([("hot", 1), ("a", 2), ("a", 3), ("c", 4), (None, 5)], "key string, w int")
-    plain = left.join(right, ["key"], how)
-    split = skew_join(left, right, ["key"], how, hot_rows=100, sample=1.0)
-    assert split.columns == plain.columns
-    assert "_slice" in split._jdf.queryExecution().analyzed().toString()
-    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
-
-
-def test_even_keys_are_joined_plainly(spark):
-    left = spark.range(100).withColumnRenamed("id", "k")
-    joined = skew_join(left, left.withColumn("w", F.lit(1)), ["k"], "left")
-    assert "_slice" not in joined._jdf.queryExecution().analyzed().toString()
-    assert joined.count() == 100
