@@ -299,11 +299,20 @@ def checked(classes: DataFrame, bounds: DataFrame, k: int, settings: Settings) -
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision."""
+    """Cosine of two arrays in double precision; components of any size."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    product = total(F.zip_with(a, b, lambda x, y: x * y))
     length = lambda x: F.sqrt(total(F.transform(x, lambda v: v * v)))
-    return product / (length(a) * length(b))
+
+    def plain(x: Column, y: Column) -> Column:
+        return total(F.zip_with(x, y, lambda v, w: v * w)) / (length(x) * length(y))
+
+    def scaled(x: Column) -> Column:
+        most = F.array_max(F.transform(x, lambda v: F.abs(v)))
+        return F.transform(x, lambda v: v / most)
+
+    # Squares of very large or small components leave the range of doubles.
+    inside = length(a).between(1e-100, 1e100) & length(b).between(1e-100, 1e100)
+    return F.when(inside, plain(a, b)).otherwise(plain(scaled(a), scaled(b)))
 
 
 def search(
