@@ -279,9 +279,12 @@ ORACLES = {
     "fn_any_value": f"""{_E} SELECT event_id, CASE event_type WHEN 'view' THEN '"a\\"' || k || '"'
       WHEN 'click' THEN CAST(k AS VARCHAR) WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'null' ELSE '"deadbeef"' END
       WHEN 'purchase' THEN '[' || k || ',{{"in":["x",null]}}]' ELSE '{{"key1":false}}' END AS json FROM e""",
-    "fn_enum_codes": f"""{_E} SELECT event_id, {_case('k', S.TRIGGER_CODES.values())} AS trigger_type,
-      {_case('k', S.RESTART_CODES.values())} AS restart_policy, {_case('k', S.STATE_CODES.values())} AS state,
-      {_case('k', S.HEALTH_CODES.values())} AS health_status FROM e""",
+    # The codes are written out here, so a wrong one in the library shows.
+    "fn_enum_codes": f"""{_E} SELECT event_id, {_case('k', "startup cron image_update manual_reload".split())} AS trigger_type,
+      {_case('k', ("always always no no no on-failure on-failure on-failure on-failure"
+                   " unless-stopped unless-stopped unless-stopped unless-stopped").split())} AS restart_policy,
+      {_case('k', "empty created running paused restarting removing exited dead not_found unknown".split())} AS state,
+      {_case('k', "healthy unhealthy starting none".split())} AS health_status FROM e""",
     "fn_span_codes": """SELECT l_orderkey, l_partkey, CASE l_linenumber WHEN 2 THEN 'INTERNAL' WHEN 3 THEN 'SERVER'
       WHEN 4 THEN 'CLIENT' WHEN 5 THEN 'PRODUCER' WHEN 6 THEN 'CONSUMER' ELSE 'UNSPECIFIED' END AS kind,
       CASE l_linenumber WHEN 1 THEN 'UNSET' WHEN 2 THEN 'OK' WHEN 3 THEN 'ERROR' WHEN 7 THEN 'UNSET' ELSE 'UNKNOWN' END AS status FROM lineitem""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telelake.checks import fixtures as X
@@ -57,7 +57,16 @@ def output_marks(spark: SparkSession, sf: str) -> DataFrame:
 
 def output_tail(spark: SparkSession, sf: str) -> DataFrame:
     rows = normalize.container_output(X.output_events(spark, sf))
-    return X.plain(output.tail(output.replay(rows), 5)).select("service", "timestamp", "sequence", "message")
+    return X.plain(output.tail(rows, 5)).select("service", "timestamp", "sequence", "message")
+
+
+def output_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of each line in the replay: by task and, inside a task, by row."""
+    rows = output.replay(normalize.container_output(X.output_events(spark, sf)))
+    # Numbers of rows as they come; ranks of these numbers do not depend on the tasks.
+    placed = X.plain(rows.withColumn("_at", F.monotonically_increasing_id()))
+    nth = F.row_number().over(Window.partitionBy("service").orderBy("_at"))
+    return placed.select("service", "timestamp", "sequence", nth.alias("place"))
 
 
 # --- routing and dependencies
@@ -344,6 +353,7 @@ QUERIES = {
         output_increment,
         output_marks,
         output_tail,
+        output_replay,
         route_join,
         prune_dependencies,
         dependency_gate,
@@ -407,6 +417,8 @@ ORACLES = {
       FROM m WHERE mark IS NOT NULL OR service IN (SELECT service FROM inc)""",
     "output_tail": f"""{_E}, o AS ({X.OUTPUT_ROWS}) SELECT service, timestamp, sequence, message FROM
       (SELECT *, row_number() OVER (PARTITION BY service ORDER BY timestamp DESC, sequence DESC) AS rn FROM o) WHERE rn <= 5""",
+    "output_replay": f"""{_E}, o AS ({X.OUTPUT_ROWS}) SELECT service, timestamp, sequence,
+      CAST(row_number() OVER (PARTITION BY service ORDER BY timestamp, sequence) AS INTEGER) AS place FROM o""",
     "route_join": f"""WITH {_ROUTES}, b AS (SELECT request_id, arg_max(route, length(route)) AS route FROM
         (SELECT q.request_id, q.host, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM q) q JOIN t ON q.host = t.host
         AND (route = '/' OR path = route OR starts_with(path, route || '/')) GROUP BY request_id)

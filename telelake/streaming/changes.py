@@ -54,8 +54,10 @@ def digest_stream(
 
 
 def _state(spark: SparkSession, path: str, number: int) -> DataFrame:
-    if number < 0 or not exists(spark, f"{path}/batch={number}"):
+    if number < 0:
         return spark.createDataFrame([], STATE)
+    if not exists(spark, f"{path}/batch={number}"):
+        raise RuntimeError(f"state {number} is missing below {path}; without it every image would start anew")
     return spark.read.schema(STATE).parquet(f"{path}/batch={number}")
 
 

@@ -12,20 +12,23 @@ from telelake.sources import envelope, tables
 from telelake.sources.ingest import table_rows
 
 INTERVAL = "30 seconds"
-# Tasks that share one (service, date) in a micro-batch.
+# Tasks that share one (service, date) in a micro-batch, unless the caller says otherwise.
 SPREAD = 4
 
 
 def start_sink(
-    rows: DataFrame, root: str, name: str, checkpoint: str, trigger: dict | None = None
+    rows: DataFrame, root: str, name: str, checkpoint: str, trigger: dict | None = None, spread: int = SPREAD
 ) -> StreamingQuery:
-    """Append a stream to a table through the file sink, whose log makes retries harmless."""
+    """Append a stream to a table through the file sink, whose log makes retries harmless.
+
+    ``spread`` is for the busiest service: so many tasks, and files, share its batch.
+    """
     table = tables.TABLES[name]
     # Few files per partition directory without giving a busy service to one task.
-    slice_ = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))
-    spread = rows.repartition(*table.partitions, slice_)
+    slice_ = F.pmod(F.xxhash64(*rows.columns), F.lit(spread))
+    dealt = rows.repartition(*table.partitions, slice_)
     return (
-        spread.writeStream.format(tables.DEFAULT_FORMAT)
+        dealt.writeStream.format(tables.DEFAULT_FORMAT)
         .partitionBy(*table.partitions)
         .option("path", tables.table_uri(root, name))
         .option("checkpointLocation", f"{checkpoint}/{name}")
@@ -44,6 +47,7 @@ def ingest_stream(
     names: Iterable[str] = tuple(tables.TABLES),
     version_key: str = envelope.DEFAULT_VERSION_KEY,
     trigger: dict | None = None,
+    spread: int = SPREAD,
     **source_options,
 ) -> dict[str, StreamingQuery]:
     """Start one query per table over the staging area.
@@ -56,7 +60,7 @@ def ingest_stream(
     for name in names:
         lines = envelope.scan_staged_stream(spark, staged, **source_options)
         rows = table_rows(lines, name, version_key)
-        queries[name] = start_sink(rows, root, name, checkpoint, trigger)
+        queries[name] = start_sink(rows, root, name, checkpoint, trigger, spread)
     return queries
 
 

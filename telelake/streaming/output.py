@@ -12,15 +12,19 @@ from telelake.sources import tables
 from telelake.streaming.ingest import start_sink
 
 CHUNKS = "chunk_id bigint, service string, stream string, text string, observed_us bigint"
-# Lines of one chunk that fit below the chunk number in a sequence.
+# Bits of the line number inside a sequence, and of the chunk number above it.
 _LINE_BITS = 20
+_CHUNK_BITS = 43
 
 
 def stream_sequence(chunk_id: Column, line_no: Column) -> Column:
-    """Order-preserving number that needs no state: chunk number, then line number."""
-    fits = line_no < F.lit(1 << _LINE_BITS)
-    too_long = F.raise_error(F.lit("more lines in a chunk than a sequence can number"))
-    return F.when(fits, F.shiftleft(chunk_id, _LINE_BITS) + line_no).otherwise(too_long.cast("bigint"))
+    """Order-preserving number that needs no state: chunk number, then line number.
+
+    Lines of a chunk are in order whatever its length, and no number stops the stream.
+    Chunk numbers start again after 2^43; lines beyond the 2^20th of a chunk may be
+    numbered like those of the next one, which only matters within one microsecond.
+    """
+    return F.shiftleft(F.pmod(chunk_id, F.lit(1 << _CHUNK_BITS)), _LINE_BITS) + line_no
 
 
 def captured_rows(chunks: DataFrame, repeats_within: str | None = None) -> DataFrame:
