@@ -111,7 +111,10 @@ def cron_firings(
     ``first_weekday`` is the number of Sunday; names of days mean the same in either
     numbering. Unreadable expressions fire never and are listed by :func:`cron_rejects`.
     """
-    parsed = _parsed(schedules, first_weekday).where("_readable")
+    parsed = _parsed(schedules, first_weekday)
+    # As a generator the fields are read once per schedule, not once per use.
+    held = F.explode(F.array(F.struct(*parsed.columns))).alias("_p")
+    parsed = parsed.select(held).select("_p.*").where("_readable")
 
     day = F.col("_date")
     days = parsed.withColumn(
