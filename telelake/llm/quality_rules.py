@@ -6,8 +6,12 @@ References are means over all documents of the language that are long enough, so
 document counts alike. Short documents are spared by a minimum-length guard, and the limit
 widens with the sampling error that a document's length implies.
 
-The references have one row per listed language and one for all others, whatever the
-input; only these few rows reach the driver.
+A mixture of languages is near none of them, so there is no reference of all. A document
+that names no language takes the nearest reference; one whose language has no reference
+is spared by a guard.
+
+The references have one row per listed language, whatever the input; only these few rows
+reach the driver.
 """
 
 from __future__ import annotations
@@ -38,7 +42,6 @@ COMMON_WORDS = {
     "es": "a al como con de del el en es ha la las le lo los más mi no o para pero por que se si sin sobre son su sus un una y".split(),
     "fr": "au aux avec ce dans de des du elle en est et il la le les leur mais ne nous on ou par pas plus pour qu que qui sa se son sur un une".split(),
 }
-OTHER = "other"
 
 # Character classes in the order of the histogram.
 CLASSES = (
@@ -71,7 +74,7 @@ class Limits:
     # this share of the characters.
     reference_words: int = 50
     reference_symbols: float = 0.01
-    # A language with less weight than so many documents takes the reference of all.
+    # A language with fewer such documents has no reference.
     reference_docs: int = 20
 
 
@@ -124,7 +127,6 @@ def _common_index() -> tuple[dict[bytes, int], dict[str, np.ndarray], int]:
             for mark in ("", *".,;:!?"):
                 spellings[(form + mark).encode()] = i
     slots = {lang: np.array([slot[w] for w in words]) for lang, words in COMMON_WORDS.items()}
-    slots[OTHER] = np.arange(len(listed))
     return spellings, slots, len(listed)
 
 
@@ -194,26 +196,22 @@ def base_counts(text: str) -> tuple[int, int, int]:
     )
 
 
-def language_of(lang: str | None) -> str:
-    return lang if lang in COMMON_WORDS else OTHER
-
-
 def references(docs: DataFrame, text: str, lang: str | None, limits: Limits) -> dict[str, tuple]:
-    """Per listed language and for all others: mean class and common-word histograms."""
+    """Per listed language with enough documents: mean class and common-word histograms."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile, found = Profile(), {}
         for batch in batches:
             for part in groups(batch, "text"):
                 for t, name in zip(texts_of(part.column("text")), part.column("lang").to_pylist(), strict=True):
+                    if name not in COMMON_WORDS:
+                        continue
                     numbers, common = profile.words(t)
                     symbols = sum(map(t.count, SYMBOLS))
                     if len(numbers) < limits.reference_words or symbols > limits.reference_symbols * len(t):
                         continue
                     chars = profile.chars(t)
-                    own = found.setdefault(
-                        language_of(name), [0, np.zeros(len(CLASSES)), np.zeros(profile.size + 1)]
-                    )
+                    own = found.setdefault(name, [0, np.zeros(len(CLASSES)), np.zeros(profile.size + 1)])
                     own[0] += 1
                     own[1] += chars / chars.sum()
                     own[2] += np.append(common, len(numbers) - common.sum()) / len(numbers)
@@ -241,12 +239,8 @@ def references(docs: DataFrame, text: str, lang: str | None, limits: Limits) ->
     rows = (
         chosen.mapInArrow(sums, _SUMS).groupBy("language").agg(F.sum("docs").alias("docs"), *added).collect()
     )
-    found = {r.language: (r.docs, np.array(r.chars), np.array(r.words)) for r in rows}
-    if not found:
-        return {}
-    whole = tuple(sum(v[i] for v in found.values()) for i in range(3))
-    found[OTHER] = whole
-    return {k: (c / c.sum(), w / w.sum()) for k, (d, c, w) in found.items() if d >= limits.reference_docs or k == OTHER}
+    found = {r.language: (np.array(r.chars), np.array(r.words)) for r in rows if r.docs >= limits.reference_docs}
+    return {k: (c / c.sum(), w / w.sum()) for k, (c, w) in found.items()}
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -274,18 +268,20 @@ def judge(
     """Add ``out``: the counts, both distances and ``kept``.
 
     A null or empty text has no words and fails the base rules. Distances are null where a
-    guard spares the document. A null or unlisted language is compared with the mean of
-    all documents, and so is a language of too few documents. Repeated rows get equal
-    verdicts. An empty table stays empty. ``known`` takes the place of references learned
-    from ``docs``.
+    guard spares the document: it is short, or its language has no reference, being
+    unlisted or of too few documents. Where the language is null or blank the nearest of
+    the references counts; if there is none, the base rules alone decide. Repeated rows get
+    equal verdicts. An empty table stays empty. ``known`` takes the place of references
+    learned from ``docs``.
     """
     learned = references(docs, text, lang, limits) if known is None else dict(known)
     _, slots, _ = _common_index()
     ready = {
-        name: (learned.get(name, learned.get(OTHER))[0], _of_language(learned.get(name, learned.get(OTHER))[1], own), own)
+        name: (learned[name][0], _of_language(learned[name][1], own), own)
         for name, own in slots.items()
-        if learned
+        if name in learned
     }
+    every = list(ready.values())
 
     def make():
         profile = Profile()
@@ -297,10 +293,12 @@ def judge(
             failed = n < limits.min_words or 100 * repeated > limits.max_repeat_percent * n
             by_chars = by_words = None
             far = False
-            if ready and n >= max(1, limits.guard_words):
-                chars_ref, words_ref, own = ready[language_of(name)]
-                by_chars = js_distance(profile.chars(t), chars_ref)
-                by_words = js_distance(_of_language(np.append(common, n - common.sum()), own), words_ref)
+            own = ready.get(name)
+            chosen = [own] if own else [] if name and name.strip() else every
+            if chosen and n >= max(1, limits.guard_words):
+                chars, words = profile.chars(t), np.append(common, n - common.sum())
+                pairs = [(js_distance(chars, c), js_distance(_of_language(words, at), w)) for c, w, at in chosen]
+                by_chars, by_words = min(pairs, key=lambda d: d[1] + limits.char_weight * d[0])
                 allowed = limits.divergence + limits.slack / n**0.5
                 far = by_chars > limits.char_distance or by_words + limits.char_weight * by_chars > allowed
             return n, word_chars, symbols, dup_lines, repeated, failed, by_chars, by_words, not (failed or far)

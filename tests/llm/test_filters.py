@@ -82,6 +82,26 @@ def test_distances_by_hand(spark):
         assert row.word_distance == pytest.approx(plain_distance(words, mean[1]), abs=1e-6)
 
 
+def test_texts_without_a_reference_of_their_own(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 4 = 0")
+    known = quality_rules.references(docs, "text", "lang", quality_rules.Limits())
+    assert set(known) == set(quality_rules.COMMON_WORDS)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "lang", "quality")
+    # No language: the nearest reference, so clean text stays and junk goes.
+    for none in (F.lit(None).cast("string"), F.lit(" ")):
+        found = quality_rules.judge(rows.withColumn("lang", none), out="found", known=known).collect()
+        good = [r.found.kept for r in found if r.quality == 1 and r.found.n_words >= 20]
+        bad = [r.found.kept for r in found if r.quality == 0]
+        assert np.mean(good) > 0.99 and np.mean(bad) < 0.05
+    # A language of few documents or an unlisted one has no reference and is spared.
+    few = rows.where("lang = 'de'").limit(19)
+    mixed = rows.where("lang = 'en'").unionByName(few).unionByName(few.withColumn("lang", F.lit("nl")))
+    for row in quality_rules.judge(mixed, out="found").where("lang <> 'en'").collect():
+        assert row.found.kept == (not row.found.base_failed) and row.found.char_distance is None
+
+
 def test_repeats_with_equal_sums():
     profile = quality_rules.Profile()
     profile.factor = np.uint64(1)  # sums of a window no longer depend on its order
