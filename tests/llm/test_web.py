@@ -78,6 +78,18 @@ def test_articles_keep_shared_lines(spark):
     assert {r.main.text.split("\n")[0] for r in html_extract.extract(frame).collect()} == {"Quoted by both."}
 
 
+def test_text_outside_an_article_stays(spark):
+    def page(i):
+        cards = "<article>Read also this.</article><article>And this card.</article>"
+        return frame_page(f"<h1>Headline {i}</h1><div>Lead of story {i}.</div><div class='entry'><p>Body {i} in a plain element.</p></div>{cards}")
+
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in (1, 2)], "page_id long, url string, html string")
+    for r in html_extract.extract(frame).collect():
+        i = r.page_id
+        own = [f"Headline {i}", f"Lead of story {i}.", f"Body {i} in a plain element."]
+        assert r.main.text.split("\n") == [*own, "Read also this.", "And this card."]
+
+
 def test_nearest_path(spark):
     urls = ["http://h/a/x/1", "http://h/a/x/2", "http://h/b/1", "http://h/b/2/c", "http://other/a"]
     frame = spark.createDataFrame([(u, f"<p>{u}</p>") for u in urls], "url string, html string")
