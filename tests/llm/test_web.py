@@ -38,6 +38,18 @@ def test_markup():
     assert text == "Head&line\nOne bold word next\nTwo <tags>\na\nb"
 
 
+def test_frame_words_in_names_of_article_parts():
+    page = """<article><section id="related-work"><h2>Related work</h2><p>Earlier papers.</p></section>
+    <h2 id="search-algorithms">Search</h2><div id="notice-period">Three months.</div><section id="social-history">
+    <h3>Smoking</h3></section><p>Let <math><mi>x</mi></math> be <label>small</label>.</p><h2 id="comments">On comments</h2>
+    <div class="related-posts">More</div><div id="ad-1">Buy</div><div class="comment-list">Nice</div>
+    <div class="share-buttons">Send</div></article><h2 id="search">Found</h2><label>Menu</label><div id="site-footer">Foot</div>"""
+    text, _ = html_extract.main_text(page, None)
+    assert text.split("\n") == [
+        "Related work", "Earlier papers.", "Search", "Three months.", "Smoking", "Let x be small.", "On comments", "Found",
+    ]
+
+
 @pytest.mark.parametrize("page", ["", "plain text", "<p", "<!-- open", "<a href='x>y", "&#0;&bogus;&amp", "<script>x", "</p></div>", "<" * 500, "<p>" * 3000])
 def test_broken_markup(page):
     assert isinstance(html_extract.main_text(page, [1, 2])[0], str)
