@@ -352,16 +352,21 @@ def search(
         bounds = asked.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
         more = checked(classes, store(bounds, "ann-bounds"), k, settings)
         ranked = ranked.unionByName(more).groupBy("query", "class").agg(F.max("near").alias("near"))
-    # Twice as many as needed, so that scores that differ by rounding alone are all rescored.
-    few = ranked.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= 2 * k + 2).select("query", "class")
+        ranked = store(ranked, "ann-ranked")
+    # All that tie with the k+1-th up to rounding are rescored, however many they are.
+    first = ranked.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1)
+    reached = first.groupBy("query").agg(F.min("near").alias("least"))
+    few = ranked.join(reached, "query").where(F.col("near") >= F.col("least") - _SLACK).select("query", "class")
     candidate = classes.select("class", F.col("vector").alias("there"), "ids")
     asked = classes.where("asked").select(F.col("class").alias("query"), F.col("vector").alias("here"))
     scored = few.join(candidate, "class").join(asked, "query").select(
         "query", "ids", (F.col("query") == F.col("class")).alias("own"), cosine(F.col("here"), F.col("there")).alias("score"),
         F.col("here").alias("vector"),
     )
-    # At most (2k + 2)(k + 1) entries for each distinct query vector.
+    # At most k + 1 entries for each distinct query vector; each task cuts its own first.
+    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "id", "own")
     entries = scored.select("query", "vector", "own", F.explode("ids").alias("id"), "score")
+    entries = entries.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1)
     lists = entries.groupBy("vector").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "id", "own"))).alias("entries")
     )

@@ -171,6 +171,15 @@ def test_hilbert_neighbours_touch():
     assert (steps == 1).all()
 
 
+def test_ties_of_many_vectors_go_to_the_smaller_ids(spark):
+    rows = [(0, [1.0, 1.0, 0.0])] + [(i, [2.0**i, 0.0, 0.0]) for i in range(1, 61)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in ann.search(frame, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert [x[1] for x in sorted(found[0])] == [x[1] for x in sorted(found[50])] == [1, 2, 3, 4, 5]
+
+
 def test_search_edge_cases(spark):
     one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [(0, one), (1, one), (2, one), (3, two), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]),
