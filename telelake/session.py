@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Temporary folders of local sessions without a configured one, by application.
 _local_dirs: dict[str, str] = {}
+# Applications whose executors have got the package.
+_shipped: set[str] = set()
 # Scratch locations handed out and not yet removed.
 _scratch: list[str] = []
 
@@ -37,6 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of ``spark``, wherever they run; once per application.
+
+    Functions that run in tasks are pickled by reference, and workers need not have the
+    package on their path. Spark serves the archive to every executor, new ones too.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="telelake-"), "telelake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh, never reused location in the shared folder."""
     path = f"{shared_dir(spark)}/telelake/{label}-{uuid.uuid4().hex}"
