@@ -34,7 +34,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from telelake.llm.rows import store
+from telelake.llm.rows import arrow_step, store
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def _keyed(classes: DataFrame, curves: list[int], settings: Settings) -> DataFra
                     )
 
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = classes.mapInArrow(run, schema)
+    keyed = arrow_step(classes, run, schema)
     return keyed.repartitionByRange(tasks, "curve", "key", "class").sortWithinPartitions("curve", "key", "class")
 
 
@@ -199,7 +199,7 @@ def windows(classes: DataFrame, k: int, settings: Settings) -> DataFrame:
             cut = max(0, end - reach)
             curve, number, unit, asked, done = curve[cut:], number[cut:], unit[cut:], asked[cut:], end - cut
 
-    return rows.select("curve", "class", "vector", "asked").mapInArrow(search, _FOUND)
+    return arrow_step(rows.select("curve", "class", "vector", "asked"), search, _FOUND)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -243,7 +243,7 @@ def checked(classes: DataFrame, bounds: DataFrame, k: int, settings: Settings) -
                 )
 
     ordered = _keyed(classes.select("class", "vector"), [0], settings)
-    packets = store(ordered.select("class", "vector").mapInArrow(packed, _PACKETS), "ann-packets")
+    packets = store(arrow_step(ordered.select("class", "vector"), packed, _PACKETS), "ann-packets")
     n_packets, n_queries = packets.count(), bounds.count()
     tiles, salts = -(-n_queries // settings.tile) or 1, -(-n_packets // 2) or 1
     # A tile holds about settings.tile queries by construction.
@@ -295,7 +295,7 @@ def checked(classes: DataFrame, bounds: DataFrame, k: int, settings: Settings) -
                         kept = best(columns[2][begin:end], count) + begin
                         yield _found([columns[0][kept]], [columns[1][kept]], [columns[2][kept]])
 
-    return pairs.mapInArrow(compare, _FOUND)
+    return arrow_step(pairs, compare, _FOUND)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from telelake.llm.bpe import Encoder
-from telelake.llm.rows import groups, store, texts_of
+from telelake.llm.rows import arrow_step, groups, store, texts_of
 
 CAPACITY = 4096
 # Items that a task packs together in the first round; more are packed in several lots.
@@ -93,7 +93,7 @@ def pack(
             yield from _packed(_rows(held), at, capacity)
 
     limit = capacity - int(capacity * NEARLY)
-    bins = store(renamed.mapInArrow(local, schema), "bins")
+    bins = store(arrow_step(renamed, local, schema), "bins")
     done: list[DataFrame] = []
     before = None
     while True:
@@ -108,7 +108,7 @@ def pack(
         # Dealt by content, so that a repeated task sees the same rows.
         key = F.xxhash64(F.col("fill"), F.to_json(F.element_at("members", 1)))
         dealt = under.repartition(tasks, key).sortWithinPartitions(F.desc("fill"), key)
-        bins = store(dealt.mapInArrow(_merge(capacity), schema), "bins")
+        bins = store(arrow_step(dealt, _merge(capacity), schema), "bins")
         if tasks == 1:
             done.append(bins)
             break
@@ -119,7 +119,7 @@ def pack(
         [*member.fields, StructField("sequence", LongType(), False), StructField("offset", LongType(), False)]
     )
     numbered = whole.select(F.monotonically_increasing_id().alias("sequence"), "members")
-    return numbered.mapInArrow(_laid_out(at), final).toDF(*names, sequence, offset)
+    return arrow_step(numbered, _laid_out(at), final).toDF(*names, sequence, offset)
 
 
 def _rows(held: list[pa.RecordBatch]) -> pa.StructArray:
@@ -244,4 +244,4 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return chosen.mapInArrow(run, schema)
+    return arrow_step(chosen, run, schema)

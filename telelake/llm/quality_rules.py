@@ -33,7 +33,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from telelake.llm.rows import add_struct, groups, struct_array, texts_of
+from telelake.llm.rows import add_struct, arrow_step, groups, struct_array, texts_of
 
 # Common words of each language, in natural order.
 COMMON_WORDS = {
@@ -237,7 +237,7 @@ def references(docs: DataFrame, text: str, lang: str | None, limits: Limits) ->
         for c, n in zip(("chars", "words"), sizes, strict=True)
     ]
     rows = (
-        chosen.mapInArrow(sums, _SUMS).groupBy("language").agg(F.sum("docs").alias("docs"), *added).collect()
+        arrow_step(chosen, sums, _SUMS).groupBy("language").agg(F.sum("docs").alias("docs"), *added).collect()
     )
     found = {r.language: (np.array(r.chars), np.array(r.words)) for r in rows if r.docs >= limits.reference_docs}
     return {k: (c / c.sum(), w / w.sum()) for k, (c, w) in found.items()}

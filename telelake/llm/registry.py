@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from telelake.llm import (
     ann,
     bpe,
+    conversation_repair,
     html_extract,
     licenses,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
+    sharding,
     simhash,
     toxicity,
     warc,
@@ -99,6 +102,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "quality.*")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes_with_ends(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -110,5 +125,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_sharding": op12_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op4_licenses": licenses.sql(), "op9_warc": warc.SQL}
+ORACLES = {"op4_licenses": licenses.sql(), "op9_warc": warc.SQL, "op12_sharding": sharding.sql()}

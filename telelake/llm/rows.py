@@ -13,15 +13,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from telelake.session import scratch_path
+from telelake.session import scratch_path, ship
 
 # Texts are worked through in groups of about so many characters, which bounds the memory
 # of a task however long its Arrow batches are. A longer text is a group of its own.
 GROUP_CHARS = 4_000_000
 
+# Rows in a batch that a row step returns.
+ROWS = 2048
+
 
 def add_struct(
     df: DataFrame,
@@ -63,7 +66,37 @@ def add_struct(
                     [part.column(p) for p in passed] + [made], names=[*passed, "_out"]
                 )
 
-    return wide.mapInArrow(run, schema).toDF(*names)
+    return arrow_step(wide, run, schema).toDF(*names)
+
+
+def arrow_step(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``run`` on the Arrow batches of each task; its workers get the package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def row_step(df: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``work`` on the rows of each task, streamed in their order."""
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        for row in work(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)):
+            waiting.append(row)
+            if len(waiting) == ROWS:
+                yield made(waiting)
+                waiting = []
+        if waiting:
+            yield made(waiting)
+
+    return arrow_step(df, run, kind)
 
 
 def groups(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from telelake.llm.components import connected
-from telelake.llm.rows import add_struct, fresh, store, struct_array, texts_of
+from telelake.llm.rows import add_struct, arrow_step, fresh, store, struct_array, texts_of
 
 BITS = 3
 SEED = 42
@@ -101,7 +101,7 @@ def _dealt(postings: DataFrame, heavy_limit: int | None) -> DataFrame:
     """Links inside each posting; ``postings`` has (value, slot, key)."""
     tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = postings.repartition(tasks, "key").sortWithinPartitions("key", "value")
-    return ordered.select("key", "value", "slot").mapInArrow(_compare(heavy_limit), FOUND)
+    return arrow_step(ordered.select("key", "value", "slot"), _compare(heavy_limit), FOUND)
 
 
 def _compare(heavy_limit: int | None):
