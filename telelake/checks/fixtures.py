@@ -6,6 +6,8 @@ plays (a broken line, an absent field), never whether it takes part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,18 @@ SPAN_US = 30 * 86_400_000_000  # trace dates are folded into thirty days
 SERVICES = 8
 
 
+# Stored fixtures by application, folder and name.
+_stored: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A fixture that many checks start from: derived by the first, read by the others."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        _stored[key] = materialize(make(), name, keep=True)
+    return _stored[key]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table; one that Spark reads in fewer tasks than there are cores is spread out."""
     use_utc(spark)
@@ -271,6 +285,10 @@ OUTPUT_ROWS = """SELECT CAST(make_timestamp(us) AS DATE) AS date, us AS timestam
 
 # --- log requests: one per event; an error carries a second record with nested values
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return once(spark, sf, "log-requests", lambda: _log_lines(spark, sf))
+
+
+def _log_lines(spark: SparkSession, sf: str) -> DataFrame:
     k, i, u, kind = F.col("k"), F.col("event_id"), F.col("user_id"), F.col("event_type")
     named = '{"key":"service.name","value":{"stringValue":"«s»"}}'
     resource = (
@@ -318,7 +336,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     records = F.concat(first, F.when(kind == "error", second).otherwise(""))
     line = text('{"LogBatch":{"resourceLogs":[{«r»"scopeLogs":[{"logRecords":[«l»]}]}]}}', r=resource, l=records)
-    return materialize(events(spark, sf).select(stored(line), F.lit("logs.jsonl").alias("file")), "requests")
+    return events(spark, sf).select(stored(line), F.lit("logs.jsonl").alias("file"))
 
 
 L = (
@@ -359,6 +377,10 @@ def item_key(tail: str) -> Column:
 
 
 def span_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return once(spark, sf, "span-requests", lambda: _span_lines(spark, sf))
+
+
+def _span_lines(spark: SparkSession, sf: str) -> DataFrame:
     o = F.col("o_orderkey")
     elsewhere = F.when(F.col("o_orderstatus") == "P", o + (1 << 50)).otherwise(o)
     start = folded("o_orderdate") * 1000
@@ -413,7 +435,7 @@ def span_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     line = text('{"SpanBatch":{"resourceSpans":[{"scopeSpans":[{"spans":[«i»,«h»]}]}]}}', i=item, h=handover)
     items = table(spark, sf, "lineitem").select(stored(line), F.lit("traces.jsonl").alias("file"))
-    return materialize(roots.union(items), "requests")
+    return roots.union(items)
 
 
 _ITEM_KEY = """left(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT),

@@ -116,16 +116,16 @@ def strange_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines whose fields, times or nested values cannot be read, among good ones."""
     i, us = F.col("event_id"), F.col("us")
     status = (
-        '{"ContainerStatus":{"timestamp":«t»,"service":"id-«i»","container_id":"c","state":"Running","health_status":"None",'
+        '{"ContainerStatus":{"timestamp":«t»,"service":"s","container_id":"id-«i»","state":"Running","health_status":"None",'
         '"exit_code":"abc","restart_count":1,"uptime_seconds":1,"failing_streak":0}}'
     )
     log = (
-        '{"LogBatch":{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"id-«i»"}}]},'
-        '"scopeLogs":[{"logRecords":[{"timeUnixNano":"%s","body":%s}]}]}]}}'
+        '{"LogBatch":{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"s"}}]},'
+        '"scopeLogs":[{"logRecords":[{"timeUnixNano":"%s","severityText":"id-«i»","body":%s}]}]}]}}'
     )
     span = (
-        '{"SpanBatch":{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"id-«i»"}}]},'
-        '"scopeSpans":[{"spans":[{"traceId":"a","spanId":"b","name":"n","startTimeUnixNano":"1","endTimeUnixNano":"abc"}]}]}]}}'
+        '{"SpanBatch":{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"s"}}]},'
+        '"scopeSpans":[{"spans":[{"traceId":"a","spanId":"b","name":"id-«i»","startTimeUnixNano":"1","endTimeUnixNano":"abc"}]}]}]}}'
     )
     time = "«t»000"
     forms = {
@@ -152,9 +152,9 @@ def quarantine_rows(spark: SparkSession, sf: str) -> DataFrame:
     report = ingest.ingest_batch(lines, root, names=["status", "logs", "traces"])
     counted = report.agg(F.sum("loaded").alias("loaded"), F.sum("rejected").alias("rejected"), F.min("ok").alias("ok"))
     number = F.regexp_extract("value", "id-([0-9]+)", 1).cast("bigint").alias("event_id")
-    rejected = spark.read.parquet(f"{root}/{ingest.QUARANTINE}").select(number, "file", "reason")
+    rejected = ingest.quarantined(spark, root).select(number, "file", "reason")
     loaded = tables.read(spark, root, "logs").select(
-        F.substring("service", 4, 20).cast("bigint").alias("event_id"), F.lit("logs.jsonl").alias("file"), F.col("body").alias("reason")
+        F.substring("severity", 4, 20).cast("bigint").alias("event_id"), F.lit("logs.jsonl").alias("file"), F.col("body").alias("reason")
     )
     total = counted.select(F.col("loaded").alias("event_id"), F.col("rejected").cast("string").alias("file"), F.col("ok").cast("string").alias("reason"))
     return rejected.union(loaded).union(total)

@@ -9,7 +9,6 @@ from telelake.checks import fixtures as X
 from telelake.checks.functions import OBSERVED, digest_observations
 from telelake.functions import scalars as S
 from telelake.operators import changes, correlate, dependencies, layers, normalize, output, routing, schedule, slots
-from telelake.session import materialize
 from telelake.sources import ingest
 
 NOW_S = 1_704_067_200 + 400  # the capture window ends inside the fixture's first minutes
@@ -165,13 +164,19 @@ def assign_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- traces and logs
+def prepare(spark: SparkSession, sf: str) -> None:
+    """Store the fixtures that several checks share."""
+    spans(spark, sf)
+    log_rows(spark, sf)
+
+
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the traces table, stored: readers go over them more than once."""
-    return materialize(ingest.table_rows(X.span_lines(spark, sf), "traces"), "traces")
+    return X.once(spark, sf, "traces", lambda: ingest.table_rows(X.span_lines(spark, sf), "traces"))
 
 
 def log_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(ingest.table_rows(X.log_lines(spark, sf), "logs"), "logs")
+    return X.once(spark, sf, "logs", lambda: ingest.table_rows(X.log_lines(spark, sf), "logs"))
 
 
 def logs_with_spans(spark: SparkSession, sf: str) -> DataFrame:

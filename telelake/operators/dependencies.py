@@ -53,13 +53,18 @@ def prune_dependencies(services: DataFrame) -> DataFrame:
 def latest_status(status: DataFrame) -> DataFrame:
     """Newest status of each service reduced to what dependency rules look at.
 
-    ``(service, situation, health, exit_code)``; one partial row per service and task
-    is shuffled. Any known state other than running counts as exited.
+    ``(service, situation, health, exit_code)``. The newest time of each service is found by
+    a hash aggregation over times alone; only the rows of that time are read in full, and
+    ties go to the largest container. Any known state other than running counts as exited.
     """
-    newest = status.groupBy("service").agg(
+    newest = status.groupBy("service").agg(F.max("timestamp").alias("_newest"))
+    newest = newest.withColumnRenamed("service", "_service")
+    latest = status.select("service", "timestamp", "container_id", "state", "health_status", "exit_code").join(
+        newest, (F.col("service") == F.col("_service")) & F.col("timestamp").eqNullSafe(F.col("_newest"))
+    )
+    newest = latest.groupBy("service").agg(
         F.max_by(
-            F.struct("state", "health_status", "exit_code"),
-            F.struct("timestamp", "container_id", "state", "health_status"),
+            F.struct("state", "health_status", "exit_code"), F.struct("container_id", "state", "health_status")
         ).alias("s")
     )
     state = F.col("s.state")

@@ -23,26 +23,30 @@ def route_join(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """Resolve ``requests(host, path, …)`` against ``routes(host, path, service)``.
 
     Adds ``route`` and ``service``; every request row stays a row of its own, whatever its
-    columns are. A host's routes, bounded by its configuration, become one map, so there
-    is one join per host, and a request looks up the route paths that match it from the
-    longest to ``/``. Unmatched requests keep NULL. Equal routes of one host are decided
-    by service name.
+    columns are. Unmatched requests keep NULL. Equal routes of one host are decided by
+    service name.
+
+    Each (host, path) that occurs is resolved once, so repeated requests cost one row. Its
+    prefixes are joined with the routes, of which only the known ones remain, and the
+    longest is kept by length: a number, so that the reduction is a hash aggregation, and
+    the prefix follows from it. No step gathers the routes of a host.
     """
     table = (
         routes.select("host", S.normal_path(F.col("path")).alias("route"), "service")
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_list(F.struct("route", "service"))).alias("_all"))
-    )
-    # Sorted by route and service, the first of equal routes counts.
-    first = F.filter(
-        "_all", lambda e, i: (i == 0) | ~F.coalesce(F.get(F.col("_all"), i - 1)["route"] == e["route"], F.lit(False))
+        .groupBy("host", "route")
+        .agg(F.min("service").alias("service"))
     )
-    table = table.select("host", F.map_from_entries(first).alias("_routes"))
+    known = table.select("host", "route")
     path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
-    longest = F.array_sort(
-        F.array_compact(route_prefixes(path)), lambda a, b: (F.length(b) - F.length(a)).cast("int")
+    asked = requests.select("host", "path").where("host is not null and path is not null").distinct()
+    prefixes = asked.select("host", "path", F.explode(route_prefixes(path)).alias("route"))
+    longest = (
+        prefixes.join(known, ["host", "route"], "left_semi")
+        .groupBy("host", "path")
+        .agg(F.max(F.length("route")).alias("_length"))
     )
-    known = F.filter(longest, lambda p: F.coalesce(F.map_contains_key("_routes", p), F.lit(False)))
-    found = requests.join(table, "host", "left").withColumn("route", F.get(known, F.lit(0)))
-    service = F.element_at("_routes", F.col("route"))
-    return found.select(*requests.columns, "route", service.alias("service"))
+    # A route of one character is the root, also for paths that do not begin with it.
+    route = F.when(F.col("_length") == 1, "/").otherwise(F.substring(path, F.lit(1), F.col("_length")))
+    resolved = longest.select("host", "path", route.alias("route")).join(table, ["host", "route"])
+    found = requests.join(resolved.select("host", "path", "route", "service"), ["host", "path"], "left")
+    return found.select(*requests.columns, "route", "service")

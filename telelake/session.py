@@ -15,6 +15,8 @@ _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 # Scratch locations handed out and not yet removed.
 _scratch: list[str] = []
+# Locations that several later steps share.
+_kept: list[str] = []
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -68,20 +70,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def remove_scratch(spark: SparkSession) -> None:
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch location that nothing reads any more."""
+    if path in _scratch:
+        _scratch.remove(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remove_scratch(spark: SparkSession, kept: bool = False) -> None:
     """Delete what this process has stored so far; DataFrames built on it end here."""
+    if kept:
+        _scratch.extend(_kept)
+        _kept.clear()
     while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_scratch(spark, _scratch[-1])
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the stored table.
 
     Cuts lineage in a way that survives lost executors and fixes values that must
-    not change between two uses, such as partition numbers.
+    not change between two uses, such as partition numbers. With ``keep``, the table
+    outlives :func:`remove_scratch` unless that is asked to remove kept ones too.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if keep:
+        _scratch.remove(path)
+        _kept.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

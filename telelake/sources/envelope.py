@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -250,6 +250,103 @@ def _sound(event: Column, variant: Variant, version_key: str) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
+def _verdict(variant: Variant, version_key: str, good, bad) -> Column:
+    """What a line of the variant's file is worth: ``good(event)``, or ``bad(reason)`` for a line that is not loaded."""
+
+    def of_keys(keys: Column) -> Column:
+        judged = otlp.let(
+            _parsed(variant, version_key),
+            lambda e: F.when(e.isNotNull() & _sound(e, variant, version_key), good(e)).otherwise(bad(INVALID)),
+        )
+        return (
+            F.when(keys.isNull() | (F.size(keys) != 1), bad(MALFORMED))
+            .when(F.get(keys, F.lit(0)) != variant.name, bad(WRONG_VARIANT))
+            .otherwise(judged)
+        )
+
+    return otlp.let(F.json_object_keys("value"), of_keys)
+
+
+def _nests(specs: Iterable[Variant]) -> Column:
+    """Whether a line has to be looked at for nested values that cannot be read."""
+    return F.col("file").isin(*[v.file for v in specs if v.nested]) & may_nest(F.col("value"))
+
+
+def _judged(lines: DataFrame, specs: Iterable[Variant], version_key: str, python: bool, with_event: bool) -> DataFrame:
+    """``lines`` with ``_v``: reason, event and whether it is nested, for lines of the files of ``specs``.
+
+    A generator over one element makes the verdict: it is evaluated once, whatever reads its
+    fields. Only with ``python`` are nested values tested.
+    """
+    no_texts = F.lit(None).cast("array<string>")
+    chosen = None
+    for spec in specs:
+        fields, _ = _fields(spec, version_key)
+        kind = f"struct<{fields}>" if with_event else "string"
+
+        def found(reason: str | None, event: Column, texts: Column = no_texts, kind: str = kind) -> Column:
+            text = F.lit(reason).cast("string")
+            return F.struct(text.alias("reason"), event.cast(kind).alias("event"), texts.alias("texts"))
+
+        def good(event: Column, spec: Variant = spec, found: Callable = found) -> Column:
+            texts = spec.nested(event) if python and spec.nested else no_texts
+            return found(None, event if with_event else F.lit(None), texts)
+
+        # Only the branch of the line's own file is evaluated.
+        own = _verdict(spec, version_key, good, lambda reason, found=found: found(reason, F.lit(None)))
+        here = F.col("file") == spec.file
+        chosen = F.when(here, own) if chosen is None else chosen.when(here, own)
+    unknown_file = found(UNKNOWN_FILE, F.lit(None))
+    judged = lines.select("*", F.explode(F.array(chosen.otherwise(unknown_file))).alias("_v"))
+    reason = F.col("_v.reason")
+    if python:
+        # Python sees NULL where there are no texts.
+        reason = F.coalesce(reason, F.when(~otlp.readable_nested(F.col("_v.texts")), UNREADABLE))
+    return judged.select(
+        *[F.col(f"`{c}`") for c in lines.columns],
+        reason.alias("reason"),
+        F.col("_v.event").alias("event"),
+        F.coalesce(F.size("_v.texts") > 0, F.lit(False)).alias("nested"),
+    )
+
+
+def _in_two(lines: DataFrame, specs: list[Variant], version_key: str, with_event: bool) -> DataFrame:
+    """Verdicts of all lines, those that may nest in a branch with Python; each line is parsed in one of them."""
+    nesting = [v for v in specs if v.nested]
+    if not nesting:
+        return _judged(lines, specs, version_key, False, with_event)
+    nests = _nests(nesting)
+    plain = _judged(lines.where(~F.coalesce(nests, F.lit(False))), specs, version_key, False, with_event)
+    return plain.union(_judged(lines.where(nests), nesting, version_key, True, with_event))
+
+
+def verdicts(lines: DataFrame, variant: str, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:
+    """``(value, file, reason, event, nested)`` for every line staged in the file of ``variant``.
+
+    A line is parsed once: it has an event, or a reason why it is not loaded and its text.
+    ``nested`` says that the event holds nested values; only these go through Python.
+    """
+    spec = VARIANTS[variant]
+    own = lines.where(F.col("file") == spec.file).select("value", "file")
+    judged = _in_two(own, [spec], version_key, True)
+    good = F.col("reason").isNull()
+    return judged.select(
+        F.when(~good, F.col("value")).alias("value"),
+        "file",
+        "reason",
+        F.when(good, F.col("event")).alias("event"),
+        (good & F.col("nested")).alias("nested"),
+    )
+
+
+def events_of(judged: DataFrame, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:
+    """Event columns of the good lines of :func:`verdicts`."""
+    events = judged.where("reason is null").select("event.*")
+    if version_key in events.columns and version_key != DEFAULT_VERSION_KEY:
+        events = events.withColumnRenamed(version_key, DEFAULT_VERSION_KEY)
+    return events
+
+
 def decode(
     lines: DataFrame, variant: str, version_key: str = DEFAULT_VERSION_KEY, nested: bool = True
 ) -> DataFrame:
@@ -277,44 +374,15 @@ def decode(
     return valid
 
 
-def _per_file(make: Callable[[Variant], Column]) -> Column:
-    """Pick an expression by the file a line came from; only that branch is evaluated."""
-    chosen = None
-    for spec in VARIANTS.values():
-        here = F.col("file") == spec.file
-        chosen = F.when(here, make(spec)) if chosen is None else chosen.when(here, make(spec))
-    return chosen
-
-
-def _reason(version_key: str) -> Column:
-    keys = F.json_object_keys("value")
-    variant = expected_variant(F.col("file"))
-    sound = _per_file(
-        lambda spec: otlp.let(
-            _parsed(spec, version_key), lambda e: e.isNotNull() & _sound(e, spec, version_key)
-        )
-    )
-    return (
-        F.when(variant.isNull(), UNKNOWN_FILE)
-        .when(keys.isNull() | (F.size(keys) != 1), MALFORMED)
-        .when(F.get(keys, F.lit(0)) != variant, WRONG_VARIANT)
-        .when(~sound, INVALID)
-    )
+def unknown(lines: DataFrame) -> DataFrame:
+    """``(value, file, reason)`` of lines whose file belongs to no table."""
+    return lines.where(expected_variant(F.col("file")).isNull()).select("value", "file", F.lit(UNKNOWN_FILE).alias("reason"))
 
 
 def judge(lines: DataFrame, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:
     """Add ``reason``: why a line is not loaded, NULL for a good line."""
-    texts = None
-    for spec in VARIANTS.values():
-        if spec.nested:
-            here = (F.col("file") == spec.file) & may_nest(F.col("value"))
-            own = otlp.let(_parsed(spec, version_key), spec.nested)
-            texts = F.when(here, own) if texts is None else texts.when(here, own)
-    judged = lines.withColumn("reason", _reason(version_key)).withColumn(
-        "_readable", otlp.readable_nested(F.when(F.col("reason").isNull(), texts))
-    )
-    reason = F.coalesce("reason", F.when(~F.col("_readable"), UNREADABLE))
-    return judged.withColumn("reason", reason).drop("_readable")
+    judged = _in_two(lines, list(VARIANTS.values()), version_key, False)
+    return judged.drop("event", "nested")
 
 
 def quarantine(lines: DataFrame, version_key: str = DEFAULT_VERSION_KEY) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telelake.operators.normalize import NORMALIZERS
+from telelake.session import drop_scratch, scratch_path
 from telelake.sources import envelope, tables
 
 REPORT = "table string, ok boolean, loaded bigint, rejected bigint, error string"
 QUARANTINE = "_quarantine"
+REJECTED = "value string, file string, reason string, table string"
 
 
 def table_rows(
@@ -36,6 +38,25 @@ def table_rows(
     return rows(lines.where(~nested), nested=False).union(rows(lines.where(nested), nested=True))
 
 
+def _normalised(judged: DataFrame, table: str, version_key: str) -> DataFrame:
+    """Rows of ``table`` from stored verdicts; requests without nested values never see Python."""
+    if table not in ("logs", "traces"):
+        return NORMALIZERS[table](envelope.events_of(judged, version_key))
+    parts = [
+        NORMALIZERS[table](envelope.events_of(judged.where(F.col("nested") == nested), version_key), nested=nested)
+        for nested in (False, True)
+    ]
+    return parts[0].union(parts[1])
+
+
+def quarantined(spark: SparkSession, root: str) -> DataFrame:
+    """``(value, file, reason, table)`` of all lines that loads have rejected; none before the first."""
+    path = f"{root.rstrip('/')}/{QUARANTINE}"
+    if not tables.exists(spark, path):
+        return spark.createDataFrame([], REJECTED)
+    return spark.read.schema(REJECTED).parquet(path)
+
+
 def ingest_batch(
     lines: DataFrame,
     root: str,
@@ -47,44 +68,52 @@ def ingest_batch(
 ) -> DataFrame:
     """Load every table from staged lines and report on each.
 
-    ``loaded`` and ``rejected`` count its staged lines; rejected lines are appended to the
-    table ``_quarantine`` of ``root`` with file and reason. The row without a table stands
-    for lines of unknown files. Each table reads only its own staged files and fails on
-    its own; the batch may be discarded when every row says ``ok``. ``roots`` places
+    Each line is parsed once. The verdicts on the lines of a table (its event, or the reason
+    why it has none) are stored for the time of the load, in the scratch folder; table rows, rejected
+    lines and counts are all read from there. ``loaded`` and ``rejected`` count staged lines; rejected lines
+    are appended to the table ``_quarantine`` of ``root`` with file and reason, a directory for each
+    table, as jobs that write to one directory at a time disturb each other. The row without a table
+    stands for lines of unknown files. Each table reads only its own staged files and fails
+    on its own; the batch may be discarded when every row says ``ok``. ``roots`` places
     single tables elsewhere.
     """
     spark: SparkSession = lines.sparkSession
-    names = list(names)
+    quarantine = f"{root.rstrip('/')}/{QUARANTINE}"
 
     def load(name: str) -> tuple:
+        """Report of one table; what has been counted stays where a later step fails."""
+        good = bad = 0
+        path = scratch_path(spark, f"verdicts-{name}")
         try:
-            rows = table_rows(lines, name, version_key)
-            tables.append(rows, (roots or {}).get(name, root), name, fmt)
-            return name, None
+            judged = envelope.verdicts(lines, envelope.TABLE_VARIANT[name], version_key)
+            judged.write.parquet(path)
+            judged = spark.read.schema(judged.schema).parquet(path)
+            every, bad = judged.agg(F.count(F.lit(1)), F.count("reason")).first()
+            if bad:
+                rejected = judged.where("reason is not null").select("value", "file", "reason")
+                rejected.write.mode("append").parquet(f"{quarantine}/table={name}")
+            good = every - bad
+            if good:
+                tables.append(_normalised(judged, name, version_key), (roots or {}).get(name, root), name, fmt)
+            return name, True, good, bad, None
         except Exception as error:  # noqa: BLE001 - one table must not stop the others
-            return name, tables.first_line(error)
+            return name, False, 0, bad, tables.first_line(error)
+        finally:
+            drop_scratch(spark, path)
 
-    def reject() -> tuple:
-        """Rejected lines to their table, and the counts of each file."""
+    def reject() -> tuple | None:
+        """Report of the lines that belong to no table."""
         try:
-            bad = envelope.quarantine(lines, version_key)
-            bad.write.mode("append").parquet(f"{root.rstrip('/')}/{QUARANTINE}")
-            counts = envelope.ingest_metrics(lines, version_key).withColumn(
-                "table", envelope.target_table(F.col("file"))
-            )
-            # One row per table.
-            found = counts.groupBy("table").agg(F.sum("processed"), F.sum("skipped")).collect()
-            return {row[0]: (row[1], row[2]) for row in found}, None
+            strange = envelope.unknown(lines)
+            found = strange.count()
+            if found:
+                strange.write.mode("append").parquet(f"{quarantine}/table=unknown")
+            return (None, True, 0, found, None) if found else None
         except Exception as error:  # noqa: BLE001
-            return {}, tables.first_line(error)
+            return None, False, 0, 0, tables.first_line(error)
 
+    names = list(names)
     with ThreadPoolExecutor(max_workers=len(names) + 1) as pool:
         waiting = pool.submit(reject)
-        outcome = dict(pool.map(load, names))
-        counts, failed = waiting.result()
-    report = []
-    for name in [*names, *([None] if None in counts else [])]:
-        good, bad = counts.get(name, (0, 0))
-        error = outcome.get(name) or failed
-        report.append((name, error is None, 0 if error else good, bad, error))
-    return spark.createDataFrame(report, REPORT)
+        report = [*pool.map(load, names), waiting.result()]
+    return spark.createDataFrame([r for r in report if r], REPORT)

@@ -117,7 +117,7 @@ def compact(
     columns = [f.name for f in table.schema]
     laid = rows.withColumn("_piece", piece).repartition("_partition", "_piece")
     within = [c for c in (*table.partitions, *table.sort_by)]
-    writer = laid.sortWithinPartitions(*within).select(*columns).write.partitionBy(*table.partitions)
+    writer = laid.sortWithinPartitions(*within).select(*columns).write.partitionBy(*tables.recorded_layout(spark, root, name))
     writer.parquet(f"{tables.table_uri(root, name)}{COMPACTED}/run={run}")
     committed = taken.select("path", "file", "partition", F.unix_micros(F.current_timestamp()).alias("at_us"))
     committed.write.parquet(f"{listed}/run={run}")
@@ -141,7 +141,7 @@ def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
     if replaced is None:
         return live
     # The order that a scan with partitions has, also when no partition is left.
-    partitions = tables.TABLES[name].partitions
+    partitions = tables.recorded_layout(spark, root, name)
     columns = [f.name for f in tables.TABLES[name].schema if f.name not in partitions] + list(partitions)
     dates = [r[0] for r in replaced.select(F.regexp_extract("partition", r"date=([^/]*)$", 1).cast("date")).distinct().collect()]
     mixed = F.col("date").isin(dates) if dates else F.lit(False)

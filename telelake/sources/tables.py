@@ -127,6 +127,10 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return fs.exists(path)
 
 
+# A table created with the date-only layout has this file; its name keeps scans away from it.
+DATE_ONLY = "_date_only"
+
+
 def layout(name: str, by_date_only: bool = False) -> tuple:
     """Partition columns of a table.
 
@@ -136,28 +140,44 @@ def layout(name: str, by_date_only: bool = False) -> tuple:
     return ("date",) if by_date_only else TABLES[name].partitions
 
 
+def recorded_layout(spark: SparkSession, root: str, name: str) -> tuple:
+    """Partition columns that a table was created with."""
+    return layout(name, exists(spark, f"{table_uri(root, name)}/{DATE_ONLY}"))
+
+
 def ensure_table(
     spark: SparkSession, root: str, name: str, fmt: str = DEFAULT_FORMAT, by_date_only: bool = False
 ) -> None:
-    """Create the table's location with its schema unless it already exists."""
+    """Create the table's location with its schema unless it already exists.
+
+    The layout is chosen here, once; loads, streams and maintenance follow what is recorded.
+    """
     uri = table_uri(root, name)
     if not exists(spark, uri):
         empty = spark.createDataFrame([], TABLES[name].schema)
         partitions = layout(name, by_date_only)
         empty.write.format(fmt).partitionBy(*partitions).mode("ignore").save(uri)
+        if by_date_only:
+            fs, mark = hadoop_path(spark, f"{uri}/{DATE_ONLY}")
+            fs.create(mark).close()
 
 
 def ensure_tables(
-    spark: SparkSession, root: str, names: Iterable[str] = tuple(TABLES), fmt: str = DEFAULT_FORMAT
+    spark: SparkSession,
+    root: str,
+    names: Iterable[str] = tuple(TABLES),
+    fmt: str = DEFAULT_FORMAT,
+    date_only: Iterable[str] = (),
 ) -> dict[str, str | None]:
     """Create every missing table; the error text per table, None when it is in place.
 
-    A failing table does not keep the others from being created.
+    Those in ``date_only`` get the layout without services. A failing table does not keep the others from being created.
     """
     outcome: dict[str, str | None] = {}
+    date_only = set(date_only)
     for name in names:
         try:
-            ensure_table(spark, root, name, fmt)
+            ensure_table(spark, root, name, fmt, name in date_only)
             outcome[name] = None
         except Exception as error:  # noqa: BLE001 - reported per table
             outcome[name] = first_line(error)
@@ -186,21 +206,23 @@ def not_null_split(df: DataFrame, required: Iterable[str]) -> tuple[DataFrame, D
     return df.where(complete), df.where(~complete).withColumn("reason", reason)
 
 
-def laid_out(df: DataFrame, name: str, by_date_only: bool = False) -> DataFrame:
+def laid_out(df: DataFrame, name: str, partitions: tuple) -> DataFrame:
     """Rows arranged for the partitioned write.
 
     REBALANCE lets adaptive execution merge small partition directories into one
     task and split a directory that holds much of the data over many tasks.
     """
-    partitions = layout(name, by_date_only)
     within = [c for c in (*TABLES[name].partitions, *TABLES[name].sort_by) if c not in partitions]
     return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *within)
 
 
 def append(
-    df: DataFrame, root: str, name: str, fmt: str = DEFAULT_FORMAT, by_date_only: bool = False
+    df: DataFrame, root: str, name: str, fmt: str = DEFAULT_FORMAT, by_date_only: bool | None = None
 ) -> None:
-    """Append complete rows; a row that breaks the non-null contract fails the write."""
+    """Append complete rows; a row that breaks the non-null contract fails the write.
+
+    The layout is the recorded one; ``by_date_only`` is for tables that nobody has created.
+    """
     table = TABLES[name]
     missing = missing_columns(df, table.required)
     guard = F.when(
@@ -209,8 +231,13 @@ def append(
     first = table.required[0]
     guarded = df.withColumn(first, F.when(guard.isNull(), df[first]))
     conformed = guarded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema])
-    writer = laid_out(conformed, name, by_date_only).write.format(fmt).mode("append")
-    writer.partitionBy(*layout(name, by_date_only)).save(table_uri(root, name))
+    if by_date_only is None:
+        partitions = recorded_layout(df.sparkSession, root, name)
+    else:
+        ensure_table(df.sparkSession, root, name, fmt, by_date_only)
+        partitions = layout(name, by_date_only)
+    writer = laid_out(conformed, name, partitions).write.format(fmt).mode("append")
+    writer.partitionBy(*partitions).save(table_uri(root, name))
 
 
 def read(

@@ -2,18 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from telelake.operators.changes import BASELINE, DELETED, NOT_UPDATED, UPDATED, observed_digest
+from telelake.session import ship
 
-from telelake.operators.changes import classify, digest_changes, observed_digest
-from telelake.session import materialize
-from telelake.sources.tables import exists, hadoop_path
+if TYPE_CHECKING:
+    import pandas as pd
 
 OBSERVATIONS = (
     "image string, ts_us bigint, failed boolean, repo_digests array<string>, image_id string"
 )
-STATE = "image string, known string"
+LABELLED = "image string, ts_us bigint, digest string, previous string, outcome string"
+STATE = "known string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def label(observations: pd.DataFrame, seen: bool, known: str | None) -> pd.DataFrame:
+    """Observations of one image, in order of time, with the last good digest before each and the outcome.
+
+    ``seen`` and ``known``: whether there were any before, and the last good digest of those.
+    """
+    import numpy as np
+
+    rows = observations.sort_values("ts_us", kind="stable", ignore_index=True)
+    digest = rows["digest"].astype(object).where(rows["digest"].notna(), None)
+    previous = digest.ffill().shift(1)
+    previous = previous.where(previous.notna(), known)
+    previous = previous.astype(object).where(previous.notna(), None)
+    gone = digest.isna()
+    outcome = np.where(gone, DELETED, np.where(digest == previous, NOT_UPDATED, UPDATED))
+    if not seen:
+        outcome[0] = BASELINE
+    return rows[["image", "ts_us"]].assign(digest=digest, previous=previous, outcome=outcome)
+
+
+class LastGoodDigest(StatefulProcessor):
+    """One value per image: its last good digest, NULL while it has only failed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("known", STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        import pandas as pd
+
+        found = pd.concat(list(rows), ignore_index=True)
+        seen = self.state.exists()
+        known = self.state.get()[0] if seen else None
+        labelled = label(found, seen, known)
+        good = labelled["digest"].dropna()
+        if len(good) or not seen:
+            self.state.update((good.iloc[-1] if len(good) else known,))
+        yield labelled
+
+    def close(self) -> None:
+        pass
+
+
+def labelled_stream(observations: DataFrame) -> DataFrame:
+    """Label a stream of observations; the state of an image is kept by the engine, by key.
+
+    A micro-batch reads and writes the state of its own images only. The observations that
+    one micro-batch has of an image are put in order in one task, as ``(ts_us, digest)``;
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds them.
+    """
+    narrow = observed_digest(observations).select("image", "ts_us", "digest")
+    return narrow.groupBy("image").transformWithStateInPandas(
+        statefulProcessor=LastGoodDigest(), outputStructType=LABELLED, outputMode="Append", timeMode="None"
+    )
 
 
 def digest_stream(
@@ -25,68 +86,27 @@ def digest_stream(
     trigger: dict | None = None,
     **source_options,
 ) -> StreamingQuery:
-    """Label observations from JSON files and write them below ``target``.
+    """Label observations from JSON files and append them to the table at ``target``.
 
-    Within a micro-batch the batch operator does the work, so an image observed very
-    often is still split over tasks. Between micro-batches one row per image, its last
-    good digest, is kept next to the checkpoint. Output and state are written under the
-    micro-batch number, so a repeated micro-batch overwrites its own files.
+    State lives in RocksDB next to the checkpoint, output goes through the file sink: a
+    repeated micro-batch changes neither. Observations that arrive after later ones of
+    the same image count as coming after them.
     """
+    ship(spark)
     reader = spark.readStream.schema(OBSERVATIONS)
     for key, value in source_options.items():
         reader = reader.option(key, value)
-    state = f"{checkpoint}/images"
-
-    def process(batch: DataFrame, number: int) -> None:
-        known = _state(batch.sparkSession, state, number - 1)
-        labelled = materialize(_label(batch, known), "digests")
-        labelled.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        _next_state(labelled, known).write.mode("overwrite").parquet(f"{state}/batch={number}")
-        _forget(batch.sparkSession, f"{state}/batch={number - 2}")
-
-    return (
-        reader.json(source)
-        .writeStream.foreachBatch(process)
-        .option("checkpointLocation", f"{checkpoint}/query")
+    writer = (
+        labelled_stream(reader.json(source))
+        .writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
-        .start()
-    )
-
-
-def _state(spark: SparkSession, path: str, number: int) -> DataFrame:
-    if number < 0:
-        return spark.createDataFrame([], STATE)
-    if not exists(spark, f"{path}/batch={number}"):
-        raise RuntimeError(f"state {number} is missing below {path}; without it every image would start anew")
-    return spark.read.schema(STATE).parquet(f"{path}/batch={number}")
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """Remove a state version that no retry can ask for any more."""
-    fs, target = hadoop_path(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-
-
-def _label(batch: DataFrame, known: DataFrame) -> DataFrame:
-    fresh = digest_changes(observed_digest(batch))
-    seen = known.withColumn("_seen", F.lit(True))
-    joined = fresh.join(seen, "image", "left")
-    previous = F.coalesce("previous", "known")
-    first = (F.col("outcome") == "Baseline") & F.col("_seen").isNull()
-    return joined.select(
-        "image",
-        "ts_us",
-        "digest",
-        previous.alias("previous"),
-        classify(F.col("digest"), previous, first).alias("outcome"),
-    )
-
-
-def _next_state(labelled: DataFrame, known: DataFrame) -> DataFrame:
-    """Last good digest per image; an image that only failed is remembered with NULL."""
-    latest = labelled.groupBy("image").agg(
-        F.max_by("digest", F.when(F.col("digest").isNotNull(), F.col("ts_us"))).alias("new")
     )
-    merged = known.join(latest, "image", "full_outer")
-    return merged.select("image", F.coalesce("new", "known").alias("known"))
+    # The query takes its settings when it starts.
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(PROVIDER, before)

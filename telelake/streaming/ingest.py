@@ -5,31 +5,29 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telelake.sources import envelope, tables
 from telelake.sources.ingest import table_rows
 
 INTERVAL = "30 seconds"
-# Tasks that share one (service, date) in a micro-batch, unless the caller says otherwise.
-SPREAD = 4
 
 
 def start_sink(
-    rows: DataFrame, root: str, name: str, checkpoint: str, trigger: dict | None = None, spread: int = SPREAD
+    rows: DataFrame, root: str, name: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Append a stream to a table through the file sink, whose log makes retries harmless.
 
-    ``spread`` is for the busiest service: so many tasks, and files, share its batch.
+    Each micro-batch is rebalanced by what it weighs: partitions with little share a task,
+    one that holds much of the batch is split over as many as its bytes ask for. Adaptive
+    execution measures that for stateless streams; where it is switched off, and behind
+    state, a partition is one task.
     """
-    table = tables.TABLES[name]
-    # Few files per partition directory without giving a busy service to one task.
-    slice_ = F.pmod(F.xxhash64(*rows.columns), F.lit(spread))
-    dealt = rows.repartition(*table.partitions, slice_)
+    partitions = tables.recorded_layout(rows.sparkSession, root, name)
     return (
-        dealt.writeStream.format(tables.DEFAULT_FORMAT)
-        .partitionBy(*table.partitions)
+        rows.hint("rebalance", *partitions)
+        .writeStream.format(tables.DEFAULT_FORMAT)
+        .partitionBy(*partitions)
         .option("path", tables.table_uri(root, name))
         .option("checkpointLocation", f"{checkpoint}/{name}")
         .queryName(f"ingest {name}")
@@ -47,7 +45,6 @@ def ingest_stream(
     names: Iterable[str] = tuple(tables.TABLES),
     version_key: str = envelope.DEFAULT_VERSION_KEY,
     trigger: dict | None = None,
-    spread: int = SPREAD,
     **source_options,
 ) -> dict[str, StreamingQuery]:
     """Start one query per table over the staging area.
@@ -60,7 +57,7 @@ def ingest_stream(
     for name in names:
         lines = envelope.scan_staged_stream(spark, staged, **source_options)
         rows = table_rows(lines, name, version_key)
-        queries[name] = start_sink(rows, root, name, checkpoint, trigger, spread)
+        queries[name] = start_sink(rows, root, name, checkpoint, trigger)
     return queries
 
 

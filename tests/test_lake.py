@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from telelake.checks import fixtures as X
 from telelake.operators import normalize
 from telelake.session import materialize, remove_scratch, scratch_path, shared_dir
 from telelake.sources import envelope, ingest, maintenance, tables
+from telelake.streaming import changes as stream_changes
 from telelake.streaming import ingest as stream_load
 from telelake.streaming import output as stream_capture
 
@@ -356,3 +358,101 @@ def test_scratch_can_be_removed(spark):
     assert tables.exists(spark, file)
     remove_scratch(spark)
     assert not tables.exists(spark, file)
+
+
+def test_load_reports_and_keeps_tables_apart(spark, tmp_path):
+    """One table without a place, good and bad lines in another, lines of no table."""
+    root = str(tmp_path / "lake")
+    mixed = (
+        lines(spark, "status.jsonl", STATUS, changed(state="Sleeping"), "{")
+        .union(lines(spark, "logs.jsonl", LOG))
+        .union(lines(spark, "else.jsonl", STATUS, STATUS))
+    )
+    report = ingest.ingest_batch(mixed, root, names=["status", "logs", "traces"], roots={"logs": "nowhere://lake"})
+    found = {r.table: (r.ok, r.loaded, r.rejected) for r in report.collect()}
+    assert found == {"status": (True, 1, 2), "logs": (False, 0, 0), "traces": (True, 0, 0), None: (True, 0, 2)}
+    bad = ingest.quarantined(spark, root).collect()
+    assert sorted((r.file, r.reason, r.table) for r in bad) == [
+        ("else.jsonl", envelope.UNKNOWN_FILE, "unknown"),
+        ("else.jsonl", envelope.UNKNOWN_FILE, "unknown"),
+        ("status.jsonl", envelope.INVALID, "status"),
+        ("status.jsonl", envelope.MALFORMED, "status"),
+    ]
+    assert ingest.quarantined(spark, str(tmp_path / "other")).count() == 0
+    assert tables.read(spark, root, "status").count() == 1
+
+
+def test_verdicts_parse_a_line_once(spark):
+    for file, variant in (("status.jsonl", "ContainerStatus"), ("logs.jsonl", "LogBatch"), ("traces.jsonl", "SpanBatch")):
+        judged = envelope.verdicts(lines(spark, file, STATUS, LOG, SPAN, "{"), variant)
+        plan = judged._jdf.queryExecution().optimizedPlan().toString()
+        branches = 2 if envelope.VARIANTS[variant].nested else 1
+        assert plan.count("from_json(") == branches, plan
+        rows = judged.collect()
+        assert len(rows) == 4
+        # An event or a reason, and the text of rejected lines only.
+        assert all((r.event is None) == (r.reason is not None) == (r.value is not None) for r in rows)
+        assert sorted(r.reason for r in rows if r.reason) == sorted([envelope.WRONG_VARIANT] * 2 + [envelope.MALFORMED])
+
+
+def test_streamed_writes_split_a_busy_service_by_size(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    staged, root, marks = (str(tmp_path / p) for p in ("staged", "lake", "marks"))
+    pick = random.Random(4)
+    some = [changed(service="busy" if n % 10 else f"quiet-{n % 3}", last_health_output=f"{pick.getrandbits(1600):x}") for n in range(6000)]
+    envelope.stage(lines(spark, "status.jsonl", *some).repartition(6), staged)
+    try:
+        spark.conf.set(size, "128k")
+        queries = stream_load.ingest_stream(spark, staged, root, marks, names=["status"], trigger={"availableNow": True})
+        assert stream_load.drain(queries) == {"status": None}
+    finally:
+        spark.conf.set(size, before)
+    files = {s: len(data_files(f"{root}/status/service={s}")) for s in ("busy", "quiet-0", "quiet-1", "quiet-2")}
+    assert files["busy"] > 2 >= max(n for s, n in files.items() if s != "busy")
+    assert tables.read(spark, root, "status").count() == 6000
+
+
+def test_digest_stream_goes_on_from_its_state(spark, tmp_path):
+    source, target, marks = (str(tmp_path / p) for p in ("seen", "labelled", "marks"))
+    provider = spark.conf.get(stream_changes.PROVIDER)
+    digest, other = "a" * 64, "b" * 64
+    def feed(*rows):
+        seen = [(i, t, f, [f"r@sha256:{d}"] if d else None, None) for i, t, f, d in rows]
+        spark.createDataFrame(seen, stream_changes.OBSERVATIONS).coalesce(1).write.mode("append").json(source)
+        stream_changes.digest_stream(spark, source, target, marks, trigger={"availableNow": True}).awaitTermination()
+        return {(r.image, r.ts_us): (r.previous, r.outcome) for r in spark.read.parquet(target).collect()}
+    feed(("x", 2, False, digest), ("x", 1, True, None), ("y", 1, False, digest))
+    found = feed(("x", 3, False, digest), ("x", 5, False, other), ("x", 4, True, None), ("z", 9, True, None))
+    found = feed(("y", 2, False, other), ("z", 10, False, digest), ("x", 6, False, other))
+    assert found == {
+        ("x", 1): (None, "Baseline"), ("x", 2): (None, "Updated"), ("y", 1): (None, "Baseline"),
+        ("x", 3): (digest, "NotUpdated"), ("x", 4): (digest, "Deleted"), ("x", 5): (digest, "Updated"),
+        ("z", 9): (None, "Baseline"), ("y", 2): (digest, "Updated"), ("z", 10): (None, "Updated"), ("x", 6): (other, "NotUpdated"),
+    }
+    assert spark.conf.get(stream_changes.PROVIDER) == provider
+
+
+def test_date_only_layout_end_to_end(spark, tmp_path):
+    """Created once, followed by loads, streams, compaction and retention."""
+    staged, root, marks = (str(tmp_path / p) for p in ("staged", "lake", "marks"))
+    assert set(tables.ensure_tables(spark, root, date_only=["status"]).values()) == {None}
+    source = X.status_lines(spark, SF)
+    expected = sorted(map(str, ingest.table_rows(source, "status").collect()))
+    ingest.ingest_batch(source, root, names=["status"]).collect()
+    ingest.ingest_batch(source, root, names=["status"]).collect()
+    assert not [d for d in os.listdir(f"{root}/status") if d.startswith("service=")]
+    columns = ingest.table_rows(source, "status").columns
+    assert sorted(map(str, tables.read(spark, root, "status").select(columns).collect())) == sorted(expected * 2)
+    assert maintenance.compact(spark, root, "status", "2025-01-01") > 0
+    current = maintenance.read_current(spark, root, "status")
+    assert sorted(map(str, current.select(columns).collect())) == sorted(expected * 2)
+    streamed = str(tmp_path / "streamed")
+    tables.ensure_tables(spark, streamed, ["status"], date_only=["status"])
+    envelope.stage(source, staged)
+    queries = stream_load.ingest_stream(spark, staged, streamed, marks, names=["status"], trigger={"availableNow": True})
+    assert stream_load.drain(queries) == {"status": None}
+    assert not [d for d in os.listdir(f"{streamed}/status") if d.startswith("service=")]
+    assert sorted(map(str, tables.read(spark, streamed, "status").select(columns).collect())) == expected
+    one = tables.read_date(spark, root, "status", "2024-01-15")
+    assert "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().executedPlan().toString()

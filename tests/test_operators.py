@@ -27,8 +27,10 @@ def test_equal_requests_stay_rows(spark):
     requests = spark.createDataFrame([("h", "/a", {"k": 1})] * 3 + [(None, None, None)], "host string, path string, m map<string,int>")
     joined = routing.route_join(requests, routes)
     assert [r.service for r in joined.orderBy("service").collect()] == [None, "s", "s", "s"]
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and "Generate" not in plan
+    # Requests are not multiplied: only distinct pairs of host and path are exploded.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    exploded = plan[plan.index("Generate explode") :]
+    assert plan.count("Generate explode") == 1 and "Aggregate [host" in exploded
 
 
 def test_routing_needs_no_nested_loop(spark):
@@ -233,3 +235,47 @@ def test_path_filter(spark):
     assert {r.path for r in changes.service_filter(df, ["b"]).collect()} == {"a/b", "b", "/x/a/b"}
     assert changes.service_filter(df, None).count() == 4
     assert changes.service_filter(df, []).count() == 0
+
+
+def test_routes_of_a_host_are_never_gathered(spark):
+    """A third of all routes and most requests belong to one host."""
+    routes = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id"))).alias("host"),
+        F.concat(F.lit("/a"), (F.col("id") % 50).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("path"),
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("service"),
+    )
+    requests = spark.range(2000).select("id", F.lit("hot").alias("host"), F.concat(
+        F.lit("/a"), (F.col("id") % 50).cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit("/x")).alias("path"))
+    joined = routing.route_join(requests, routes)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "LeftSemi" in plan
+    rows = joined.collect()
+    assert len(rows) == 2000
+    assert all(r.service == (f"s{r.id}" if r.id % 3 == 0 else None) for r in rows)
+
+
+def test_newest_status_needs_no_sort_before_the_first_aggregate(spark):
+    rows = [("a", 1, "c1", "running", "healthy", None), ("a", 2, "c1", "dead", "none", 3), ("a", 2, "c2", "exited", "none", None)]
+    status = spark.createDataFrame(rows, "service string, t int, container_id string, state string, health_status string, exit_code int")
+    status = status.withColumn("timestamp", F.timestamp_seconds("t"))
+    latest = dependencies.latest_status(status)
+    assert [tuple(r) for r in latest.collect()] == [("a", "exited", None, -1)]
+    plan = latest._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[service" in plan.replace("partial_max(timestamp", "")
+
+
+def test_logs_without_ids_take_no_part_in_the_join(spark):
+    logs = spark.createDataFrame([(None, None, "x")] * 500 + [("t", "s", "y"), ("t", None, "z"), ("", "s", "e")], "trace_id string, span_id string, body string")
+    spans = spark.createDataFrame([("t", "s", "n", "SERVER", 5), ("", "s", "no", "SERVER", 5)], "trace_id string, span_id string, name string, kind string, duration_ms bigint")
+    left = correlate.logs_with_spans(logs, spans, "left").collect()
+    assert len(left) == 503
+    assert {(r.body, r.span_name) for r in left} == {("x", None), ("y", "n"), ("z", None), ("e", None)}
+    assert [r.body for r in correlate.logs_with_spans(logs, spans).collect()] == ["y"]
+
+
+def test_orphans_by_their_ids(spark):
+    rows = [("t", "a", None, "root"), ("t", "b", "a", "x"), ("t", "c", "gone", "y"), ("u", "d", "a", "z"), (None, "e", "a", "w")]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string")
+    orphans = correlate.span_orphans(spans)
+    assert orphans.columns == spans.columns
+    assert {r.name for r in orphans.collect()} == {"y", "z", "w"}
