@@ -1,16 +1,17 @@
 """Main text of web pages.
 
-Method: nearest-URL page differencing. Pages are ordered by URL path within each host and
-a path is paired with the neighbour that has the longest common prefix with it. The text
-lines of the two are aligned by a longest common subsequence, and lines that both share
-are deleted: what a site repeats from page to page is its frame.
-
-Two rules keep the result right. Markup decides where it is explicit: menus, footers,
-adverts, forms and the like always go, and lines inside an article or main element are
-never deleted, for articles do quote each other. Other lines go only where the partner
-shares them, whether or not the page has an article element. And a page that shares more than four
-fifths of its text is a copy of the other, not another article in the same frame; nothing
-is deleted because of a copy.
+Method: nearest-URL page differencing. Pages are ordered by URL path (and query) within each
+host, and each is paired with the neighbour that has the longest common prefix with it.
+The text lines of the two are aligned by a longest common subsequence, and lines that both
+share are deleted: what a site repeats from page to page is its frame.
+
+Three rules keep the result right. Lines inside an article or main element are never deleted,
+for articles do quote each other. Other lines that markup does not mark as a frame stay
+where the neighbour is another version of the same article: it shares more than four
+fifths of the text inside the article, if there is one, and of all that is not marked as frame.
+And what the neighbour lacks goes only where markup is explicit: menus, footers, adverts,
+forms and the like that only this page has. Equal pages of a host count as one page, so a
+copy is nobody's neighbour.
 
 Pairs are made of small tables with a 64-bit hash per line. A host with a third of all
 pages is spread over a third of the tasks; the pages move once, to meet their partner's
@@ -23,6 +24,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -74,7 +76,7 @@ _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _HEADING_NEXT = re.compile(r"(?:\s++|<!--.*?-->)*+<h[1-6]\b", re.S | re.I)
 # A page is a copy if less than this part of its text is its own (one in COPY_PART).
 COPY_PART = 5
-# Lines of two pages that are aligned in one table of bits.
+# Two pages whose table of bits would be larger are halved first; the alignment is as long.
 ALIGN_BITS = 1 << 28
 
 RESULT = StructType(
@@ -199,31 +201,48 @@ def line_hash(line: str) -> int:
 
 
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``.
-
-    Rows of the table are integers of bits. For two pages beyond ``ALIGN_BITS``, ``a`` is
-    aligned in parts, each with what follows the last match, which bounds the memory.
-    """
+    """Places in ``a`` of a longest common subsequence of ``a`` and ``b``, in linear memory."""
     in_b, in_a = set(b), set(a)
     left = [i for i, x in enumerate(a) if x in in_b]
-    right = [x for x in b if x in in_a]
-    found: list[int] = []
-    step = max(1, ALIGN_BITS // max(1, len(right)))
-    for begin in range(0, len(left), step):
-        part = left[begin : begin + step]
-        pairs = _align([a[i] for i in part], right)
-        found += [part[i] for i, _ in pairs]
-        if pairs:
-            right = right[pairs[-1][1] + 1 :]
-    return found
+    pairs = _halved([a[i] for i in left], [x for x in b if x in in_a])
+    return [left[i] for i, _ in pairs]
 
 
-def _align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    if not a or not b:
-        return []
+def _halved(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Matches of an alignment; where the table is too large, ``a`` is halved and ``b`` cut where the lengths add up best."""
+    if len(a) * len(b) <= ALIGN_BITS or len(a) < 2:
+        return _align(a, b)
+    half = len(a) // 2
+    ahead = _lengths(a[:half], b)
+    behind = _lengths(a[half:][::-1], b[::-1])[::-1]
+    cut = int((ahead + behind).argmax())
+    first = _halved(a[:half], b[:cut])
+    return first + [(i + half, j + cut) for i, j in _halved(a[half:], b[cut:])]
+
+
+def _places(b: list[int]) -> dict[int, int]:
     places: dict[int, int] = {}
     for j, x in enumerate(b):
         places[x] = places.get(x, 0) | 1 << j
+    return places
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each prefix of ``b``."""
+    places, full = _places(b), (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    grows = np.unpackbits(bits, bitorder="little")[: len(b)] == 0
+    return np.concatenate(([0], np.cumsum(grows)))
+
+
+def _align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    places = _places(b)
     # Bit j of a row is 0 where the length grows with b[j].
     full = (1 << len(b)) - 1
     rows, row = [], full
@@ -246,17 +265,22 @@ def _align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
+def _mostly(lines: list[tuple[str, int]], shared: list[int], roles: set[int]) -> bool:
+    """Whether more than four fifths of the text of some roles is shared, as far as there is any."""
+    body = sum(len(t) for t, role in lines if role in roles)
+    common = sum(len(lines[i][0]) for i in shared if lines[i][1] in roles)
+    return not body or COPY_PART * common > (COPY_PART - 1) * body
+
+
 def main_text(page: str, partner: list[int] | None) -> tuple[str, int]:
-    """Main text of a page, given the line hashes of its partner, and the lines deleted."""
+    """Main text of a page, given the line hashes of its partner, and how many lines the differencing deletes."""
     lines = lines_of(page)
     deleted: set[int] = set()
     if partner:
         shared = common_subsequence([line_hash(t) for t, _ in lines], partner)
-        body = [i for i, (_, role) in enumerate(lines) if role != FRAME]
-        common = sum(len(lines[i][0]) for i in set(shared).intersection(body))
-        if COPY_PART * common <= (COPY_PART - 1) * sum(len(lines[i][0]) for i in body):
-            deleted = {i for i in shared if lines[i][1] == FREE}
-    kept = [t for i, (t, role) in enumerate(lines) if role == CONTENT or (role == FREE and i not in deleted)]
+        version = all(_mostly(lines, shared, roles) for roles in ({CONTENT}, {CONTENT, FREE}))
+        deleted = {i for i in shared if lines[i][1] == FRAME or (lines[i][1] == FREE and not version)}
+    kept = [t for i, (t, role) in enumerate(lines) if role != FRAME and i not in deleted]
     return "\n".join(kept), len(deleted)
 
 
@@ -265,9 +289,11 @@ def url_host(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    """Path without query and fragment, and without the endings that name the same page."""
-    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return F.regexp_replace(F.regexp_replace(path, r"/index\.html?$", ""), r"(?:\.html?|/)+$", "")
+    """Path and query, without fragment and without the endings that name the same page."""
+    whole = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)(\?[^#]*)?"
+    path, query = F.regexp_extract(url, whole, 1), F.regexp_extract(url, whole, 2)
+    path = F.regexp_replace(F.regexp_replace(path, r"/index\.html?$", ""), r"(?:\.html?|/)+$", "")
+    return F.concat(path, F.when(query == "?", "").otherwise(query))
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -292,24 +318,30 @@ def partners(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
     hashed = add_struct(source, "lines", _LINES, ["html"], make).select("host", "path", "lines.hashes")
     # Of the versions of one path the same one is taken each time.
-    one = store(hashed.groupBy("host", "path").agg(F.min("hashes").alias("hashes")), "html-lines")
+    one = hashed.groupBy("host", "path").agg(F.min("hashes").alias("hashes"))
+    one = store(one.withColumn("digest", F.xxhash64("hashes")), "html-lines")
+    # Equal pages of a host stand in order once, at the least of their paths.
+    single = store(one.groupBy("host", "digest").agg(F.min("path").alias("path")), "html-paths")
     # Only paths are put in order; the lines join the chosen neighbour afterwards.
-    paths = one.select("host", "path")
+    paths = single.select("host", "path")
     with_last = with_running(paths, ["host"], [F.asc("path")], before={"last": F.col("path")})
     both = with_running(with_last, ["host"], [F.desc("path")], before={"next": F.col("path")})
     own, last, following = F.col("path"), F.col("last"), F.col("next")
     earlier = following.isNull() | (_common_prefix(own, last) >= _common_prefix(own, following))
     near = both.select("host", "path", F.when(last.isNotNull() & earlier, last).otherwise(following).alias("near"))
+    of_equal = single.join(near, ["host", "path"]).select("host", "digest", "near")
+    every = one.select("host", "path", "digest").join(of_equal, ["host", "digest"]).select("host", "path", "near")
     lines = one.select("host", F.col("path").alias("near"), "hashes")
-    return near.join(lines, ["host", "near"]).select("host", "path", "hashes")
+    return every.join(lines, ["host", "near"]).select("host", "path", "hashes")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "main", columns: list[str] | None = None) -> DataFrame:
     """``columns`` (all by default) and ``out``: ``text``, ``n_chars``, ``n_shared_lines``.
 
     A null or empty page gives an empty text. A page without a URL, or alone on its host,
-    has no partner, so only markup decides. Versions of one path (scheme, query, fragment)
-    are not partners of each other. Ties between two neighbours go to the earlier path.
+    has no partner, so only markup decides. Addresses that differ in scheme or fragment are
+    one page, of which one version is compared with others. Ties between two neighbours go
+    to the earlier path.
     Repeated rows give equal results and an empty table stays empty.
     """
     kept = [c for c in (pages.columns if columns is None else columns) if c.lower() != out.lower()]

@@ -3,8 +3,9 @@
 Method: the histogram of character classes and the histogram of common words of a document
 are compared with references of its language by Jensen-Shannon distance (base 2, 0 to 1).
 References are means over all documents of the language that are long enough, so every
-document counts alike. Short documents are spared by a minimum-length guard, and the limit
-widens with the sampling error that a document's length implies.
+document counts alike. Short documents are spared by a minimum-length guard, and the limits
+widen with the sampling errors that a document's length and a reference's number of
+documents imply, so a reference of one document hardly decides and one of thousands does.
 
 A mixture of languages is near none of them, so there is no reference of all. A document
 that names no language takes the nearest reference; one whose language has no reference
@@ -74,8 +75,9 @@ class Limits:
     # this share of the characters.
     reference_words: int = 50
     reference_symbols: float = 0.01
-    # A language with fewer such documents has no reference.
-    reference_docs: int = 20
+    # Limits widen by this much divided by the root of a reference's documents: what few
+    # documents show of a language may differ from it by chance.
+    reference_slack: float = 0.5
 
 
 RESULT = StructType(
@@ -197,7 +199,7 @@ def base_counts(text: str) -> tuple[int, int, int]:
 
 
 def references(docs: DataFrame, text: str, lang: str | None, limits: Limits) -> dict[str, tuple]:
-    """Per listed language with enough documents: mean class and common-word histograms."""
+    """Per listed language: mean class and common-word histograms, and of how many documents."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile, found = Profile(), {}
@@ -239,8 +241,8 @@ def references(docs: DataFrame, text: str, lang: str | None, limits: Limits) ->
     rows = (
         arrow_step(chosen, sums, _SUMS).groupBy("language").agg(F.sum("docs").alias("docs"), *added).collect()
     )
-    found = {r.language: (np.array(r.chars), np.array(r.words)) for r in rows if r.docs >= limits.reference_docs}
-    return {k: (c / c.sum(), w / w.sum()) for k, (c, w) in found.items()}
+    found = {r.language: (np.array(r.chars), np.array(r.words), r.docs) for r in rows}
+    return {k: (c / c.sum(), w / w.sum(), n) for k, (c, w, n) in found.items()}
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -269,7 +271,7 @@ def judge(
 
     A null or empty text has no words and fails the base rules. Distances are null where a
     guard spares the document: it is short, or its language has no reference, being
-    unlisted or of too few documents. Where the language is null or blank the nearest of
+    unlisted or without documents. Where the language is null or blank the nearest of
     the references counts; if there is none, the base rules alone decide. Repeated rows get
     equal verdicts. An empty table stays empty. ``known`` takes the place of references
     learned from ``docs``.
@@ -277,7 +279,7 @@ def judge(
     learned = references(docs, text, lang, limits) if known is None else dict(known)
     _, slots, _ = _common_index()
     ready = {
-        name: (learned[name][0], _of_language(learned[name][1], own), own)
+        name: (learned[name][0], _of_language(learned[name][1], own), own, limits.reference_slack / learned[name][2] ** 0.5)
         for name, own in slots.items()
         if name in learned
     }
@@ -297,10 +299,10 @@ def judge(
             chosen = [own] if own else [] if name and name.strip() else every
             if chosen and n >= max(1, limits.guard_words):
                 chars, words = profile.chars(t), np.append(common, n - common.sum())
-                pairs = [(js_distance(chars, c), js_distance(_of_language(words, at), w)) for c, w, at in chosen]
-                by_chars, by_words = min(pairs, key=lambda d: d[1] + limits.char_weight * d[0])
-                allowed = limits.divergence + limits.slack / n**0.5
-                far = by_chars > limits.char_distance or by_words + limits.char_weight * by_chars > allowed
+                pairs = [(js_distance(chars, c), js_distance(_of_language(words, at), w), more) for c, w, at, more in chosen]
+                by_chars, by_words, more = min(pairs, key=lambda d: d[1] + limits.char_weight * d[0] - d[2])
+                allowed = limits.divergence + limits.slack / n**0.5 + more
+                far = by_chars > limits.char_distance + more or by_words + limits.char_weight * by_chars > allowed
             return n, word_chars, symbols, dup_lines, repeated, failed, by_chars, by_words, not (failed or far)
 
         def work(texts: pa.Array, langs: pa.Array) -> pa.StructArray:

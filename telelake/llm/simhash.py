@@ -37,6 +37,9 @@ MATCHES = 8 - BITS
 TRIPLES = [half for base in (0, 4) for half in itertools.combinations(range(base, base + 4), 3)]
 # Fingerprints of one posting that are compared directly.
 HEAVY = 4096
+# Fingerprints of one posting of the second level that are compared directly; in larger
+# ones each asks for its neighbours.
+ASKED = 8192
 # Shingles counted at a time, for texts of any length.
 CHUNK = 1 << 14
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -106,22 +109,48 @@ def _dealt(postings: DataFrame, heavy_limit: int | None) -> DataFrame:
 
 def _compare(heavy_limit: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 3
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                new = [batch.column(i).to_numpy() for i in range(3)]
-                rest = [np.concatenate([r, n]) for r, n in zip(rest, new, strict=True)]
-                # The last posting may go on in the next batch.
-                end = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-            else:
-                end = len(rest[0])
-            if end:
-                yield from _links(*[r[:end] for r in rest], heavy_limit)
-                rest = [r[end:] for r in rest]
+        # Batches of a posting wait until it ends, and are put together once.
+        waiting: list[list[np.ndarray]] = []
+        for batch in batches:
+            new = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(new[0]):
+                continue
+            if waiting and waiting[0][0][0] == new[0][-1]:
+                waiting.append(new)
+                continue
+            # The last posting may go on in the next batch.
+            end = int(np.searchsorted(new[0], new[0][-1]))
+            done = [*waiting, [n[:end] for n in new]]
+            if sum(len(d[0]) for d in done):
+                yield from _links(*map(np.concatenate, zip(*done, strict=True)), heavy_limit)
+            waiting = [[n[end:] for n in new]]
+        if waiting:
+            yield from _links(*map(np.concatenate, zip(*waiting, strict=True)), heavy_limit)
 
     return run
 
 
+def _near(values: np.ndarray, forest: _Forest) -> None:
+    """Links in a large posting of the second level, by asking for every value within ``BITS`` bits.
+
+    Five bytes are the same in the whole posting, so three are left: a table of 2^24 bits
+    says which values there are, and each value is asked for its 2,324 neighbours, instead of
+    being compared with all others.
+    """
+    unsigned = values.view(np.uint64)
+    by_byte = unsigned.view(np.uint8).reshape(-1, 8)
+    free = [i for i in range(8) if (by_byte[:, i] != by_byte[0, i]).any()]
+    index = sum(by_byte[:, i].astype(np.int64) << 8 * k for k, i in enumerate(free))
+    place = np.full(1 << 8 * len(free), -1, np.int32)
+    place[index] = np.arange(len(values))
+    flips = [1 << b for b in range(8 * len(free))]
+    for count in range(1, BITS + 1):
+        for chosen in itertools.combinations(flips, count):
+            other = place[index ^ sum(chosen)]
+            pairs = np.flatnonzero(other > np.arange(len(values)))
+            forest.add(values[pairs], values[other[pairs]])
+
+
 def _links(keys: np.ndarray, values: np.ndarray, slots: np.ndarray, heavy_limit: int | None) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
@@ -132,11 +161,15 @@ def _links(keys: np.ndarray, values: np.ndarray, slots: np.ndarray, heavy_limit:
             yield _found(own, own, slots[start : start + size], True)
         light = np.repeat(sizes <= heavy_limit, sizes)
     else:
-        light = np.ones(len(keys), bool)
+        light = np.repeat(sizes <= ASKED, sizes)
+    forest = _Forest()
+    if not heavy_limit:
+        for start, size in zip(starts[sizes > ASKED], sizes[sizes > ASKED], strict=True):
+            _near(np.unique(values[start : start + size]), forest)
     # Rows at growing distance in the same posting; the rows that still have one get few.
     last = np.repeat(starts + sizes, sizes)
     at = np.flatnonzero(light & (np.arange(len(keys)) + 1 < last))
-    forest, step = _Forest(), 1
+    step = 1
     while len(at):
         left, right = unsigned[at], unsigned[at + step]
         differing = left ^ right

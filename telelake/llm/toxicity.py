@@ -39,8 +39,8 @@ class Settings:
     dim: int = 8
     min_gram: int = 3
     max_gram: int = 5
-    # A word's n-grams are taken from its first and last so many characters.
-    word_chars: int = 40
+    # A longer word is cut into pieces of so many characters; each counts as a word.
+    word_chars: int = 80
     passage_words: int = 12
     # Passes over the documents: as many as so many steps take, within these bounds.
     steps: int = 1200
@@ -63,16 +63,21 @@ RESULT = StructType([StructField("score", DoubleType(), False), StructField("pre
 WORD = re.compile(r"[^\W_](?:[\w@$!*'’-]*[^\W_])?", re.UNICODE)
 
 
-def words_of(text: str) -> list[str]:
-    """Words in lower case; the same word again and again counts once."""
+def words_of(text: str, settings: Settings) -> list[str]:
+    """Words in lower case; the same word again and again counts once.
+
+    Text without spaces is read in pieces, which overlap so that every n-gram is in one.
+    """
     found = WORD.findall(text.lower())
-    return [w for w, last in zip(found, ["", *found], strict=False) if w != last]
+    kept = [w for w, last in zip(found, ["", *found], strict=False) if w != last]
+    size, step = settings.word_chars, settings.word_chars - settings.max_gram + 1
+    if all(len(w) <= size for w in kept):
+        return kept
+    return [w[i : i + size] for w in kept for i in range(0, max(1, len(w) - size + step), step)]
 
 
 def grams(word: str, settings: Settings) -> np.ndarray:
     """Buckets of a word's n-grams and of the word itself."""
-    if len(word) > 2 * settings.word_chars:
-        word = word[: settings.word_chars] + word[-settings.word_chars :]
     held = f"<{word}>"
     parts = [held]
     for n in range(settings.min_gram, settings.max_gram + 1):
@@ -121,7 +126,7 @@ def train(texts: list[str], toxic: list[int], settings: Settings) -> Model:
         return Model(settings, np.zeros(settings.buckets), prior)
     # Words as numbers, with the n-gram buckets of each in one flat array.
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t, settings)], np.int64) for t in texts]
     bags = [grams(w, settings) for w in number]
     sizes = np.array([len(b) for b in bags], np.int64)
     flat = np.concatenate(bags) if bags else np.empty(0, np.int64)
@@ -234,7 +239,7 @@ class Scorer:
 
     def score(self, text: str) -> float:
         model, known = self.model, self.known
-        words = words_of(text)
+        words = words_of(text, model.settings)
         if not words:
             return 0.0
         if len(known) > model.settings.cache_words:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -95,11 +96,25 @@ def test_texts_without_a_reference_of_their_own(spark):
         good = [r.found.kept for r in found if r.quality == 1 and r.found.n_words >= 20]
         bad = [r.found.kept for r in found if r.quality == 0]
         assert np.mean(good) > 0.99 and np.mean(bad) < 0.05
-    # A language of few documents or an unlisted one has no reference and is spared.
-    few = rows.where("lang = 'de'").limit(19)
-    mixed = rows.where("lang = 'en'").unionByName(few).unionByName(few.withColumn("lang", F.lit("nl")))
-    for row in quality_rules.judge(mixed, out="found").where("lang <> 'en'").collect():
-        assert row.found.kept == (not row.found.base_failed) and row.found.char_distance is None
+    # A language of few documents has a reference with wide limits, whatever their number; an unlisted one is spared.
+    good = rows.where("lang = 'de' and quality = 1")
+    for count in (1, 5, 19, 20, 21):
+        few = good.orderBy("doc_id").limit(count)
+        mixed = rows.where("lang = 'en'").unionByName(few).unionByName(few.withColumn("lang", F.lit("nl")))
+        for row in quality_rules.judge(mixed, out="found").where("lang <> 'en'").collect():
+            assert row.found.kept == (not row.found.base_failed)
+            assert row.lang != "nl" or row.found.char_distance is None
+
+
+def test_limits_narrow_steadily_with_the_documents_of_a_reference(spark):
+    chars, words = np.ones(len(quality_rules.CLASSES)), np.ones(quality_rules._common_index()[2] + 1)
+    # Between the limit of a good reference and that of one document.
+    docs = spark.createDataFrame([("word " * 7 + "Other, words in the text of 12 it. " * 3,)], "text string")
+    kept = [
+        quality_rules.judge(docs.withColumn("lang", F.lit("en")), known={"en": (chars / chars.sum(), words / words.sum(), n)}).first().quality.kept
+        for n in (1, 2, 10, 10**6)
+    ]
+    assert kept == sorted(kept, reverse=True) and kept[-1] is False
 
 
 def test_repeats_with_equal_sums():
@@ -142,6 +157,40 @@ def test_misspellings_share_vectors():
     assert scorer.score("") == 0.0
 
 
+def test_score_by_hand(spark):
+    """Scores from the logits of buckets and passages alone, over whole texts."""
+    sf = "/root/testdata/sf0.001"
+    docs, settings = spark.read.parquet(f"{sf}/documents.parquet"), toxicity.Settings()
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    middle = "x" * 300 + "idiotmoronscum" + "y" * 300
+    extra = spark.createDataFrame([(-1, middle), (-2, "a" * 5000), (-3, "漢字" * 700), (-4, "one-" * 200)], "doc_id long, text string")
+    for row in toxicity.score(docs.select("doc_id", "text").unionByName(extra), model).collect():
+        words = []
+        for word in toxicity.WORD.findall((row.text or "").lower()):
+            if not words or words[-1][0] != word:
+                words.append((word, [word[i : i + 80] for i in range(0, max(1, len(word) - 4), 76)]))
+        values = []
+        for piece in [p for _, pieces in words for p in pieces]:
+            held = f"<{piece}>"
+            grams = [held] + [held[i : i + n] for n in (3, 4, 5) for i in range(len(held) - n + 1)]
+            values.append(sum(model.bucket_logit[zlib.crc32(g.encode("utf-8", "replace")) % settings.buckets] for g in grams) / len(grams))
+        if not values:
+            assert row.toxicity.score == 0
+            continue
+        ends = [*range(0, max(1, len(values) - 12), 6), max(0, len(values) - 12)]
+        worst = max(sum(values[i : i + 12]) / (12 if len(values) > 12 else max(len(values), 6)) for i in ends)
+        assert abs(row.toxicity.score - 1 / (1 + math.exp(-worst - model.bias))) < 1e-9
+
+
+def test_no_part_of_a_long_word_is_left_out():
+    settings = toxicity.Settings()
+    for size in (79, 80, 81, 156, 157, 400):
+        word = "".join(chr(97 + (i * 7 + i // 26) % 26) for i in range(size))
+        pieces = toxicity.words_of(word, settings)
+        grams = {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+        assert {word[i : i + 5] for i in range(size - 4)} == grams and max(map(len, pieces)) <= 80
+
+
 def test_passages_cover_every_word():
     for n in range(1, 60):
         starts = toxicity._starts(n, 12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -196,3 +197,42 @@ def test_search_edge_cases(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in ann.search(few, F.col("vec_id") == 0).collect()] == [(1, 3, 0.0)]
     assert ann.search(frame.limit(0), F.col("vec_id") == 0).count() == 0
     assert ann.search(frame, F.lit(False)).count() == 0
+
+
+def test_large_postings_ask_for_neighbours(monkeypatch):
+    """The second level finds the same components by asking as by comparing."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 40, 3, dtype=np.uint64) << np.uint64(24)
+    free = rng.integers(0, 1 << 9, 900, dtype=np.uint64) * np.uint64(0x8101)
+    values = np.unique((base[rng.integers(0, 3, 900)] | (free & np.uint64(0xFFFFFF))).view(np.int64))
+    keys = (values.view(np.uint64) >> np.uint64(24)).astype(np.int64)
+    order = np.lexsort((values, keys))
+    keys, values = keys[order], values[order]
+
+    def components(asked):
+        monkeypatch.setattr(simhash, "ASKED", asked)
+        label = {v: v for v in values.tolist()}
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+        for batch in simhash._links(keys, values, np.zeros(len(keys), np.int64), None):
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                assert ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 3
+                a, b = root(a), root(b)
+                label[max(a, b)] = min(a, b)
+        return {v: root(v) for v in label}
+
+    assert components(4) == components(10**6)
+
+
+def test_postings_over_many_batches():
+    values = np.sort(np.random.default_rng(1).integers(0, 40, 600)).astype(np.int64)
+    keys = np.repeat(np.array([5, 6, 9]), 200).astype(np.int64)
+    def found(size):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (keys, values, np.zeros(600, np.int64))], names=["key", "value", "slot"])
+            for i in range(0, 600, size)
+        ]
+        return sum(b.num_rows for b in simhash._compare(None)(iter(batches)))
+    assert found(7) == found(200) == found(600) > 0

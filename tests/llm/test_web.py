@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 
 import pytest
@@ -26,6 +27,11 @@ def test_pages_give_their_documents(spark):
         assert row.text.split("\n", 1)[1] in texts and row.n_chars == len(row.text)
 
 
+def test_differencing_acts_on_the_registered_pages(spark):
+    rows = registry.op5_html(spark, SF).collect()
+    assert sum(r.n_shared_lines for r in rows) > 0
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h2>Site</h2></header>
 <nav>Menu</nav><div class="cookie-notice">We use cookies</div><article class="post"><header><h1>Head&amp;line</h1></header>
 <p>One  <b>bo</b>ld&nbsp;word<br>next<p>Two &lt;tags&gt;<ul><li>a<li>b</ul><script>var x="</p>"</script>
@@ -84,6 +90,31 @@ def test_copies_are_not_emptied(spark):
     assert all("A long story" in r.main.text for r in html_extract.extract(frame).collect())
 
 
+def pages_frame(spark, pages):
+    return spark.createDataFrame([(i, f"http://h.example{u}", frame_page(b)) for i, (u, b) in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_copies_are_nobodys_neighbours(spark):
+    """Copies under neighbouring paths are compared with another article, and all alike."""
+    story, other = "<p>Story that stands at many addresses.</p>", "<p>An article of its own, rather longer than that.</p>"
+    pages = [(f"/n/{i:02d}", story) for i in range(9)] + [("/z", other)]
+    texts = {r.page_id: r.main.text for r in html_extract.extract(pages_frame(spark, pages)).collect()}
+    assert {texts[i] for i in range(9)} == {"Story that stands at many addresses."}
+    assert texts[9] == "An article of its own, rather longer than that."
+
+
+def test_pages_that_differ_in_the_query_are_neighbours(spark):
+    pages = [(f"/item?id={i}", f"<p>Item {i} has words that no other item has: {'abc'[i] * 30}.</p>") for i in range(3)]
+    for r in html_extract.extract(pages_frame(spark, pages)).collect():
+        assert r.main.text.startswith(f"Item {r.page_id}") and "\n" not in r.main.text and r.main.n_shared_lines == 3
+
+
+def test_short_article_in_a_large_frame(spark):
+    large = "".join(f"<div>Line {i} of the frame of this site, on every page.</div>" for i in range(60))
+    pages = [(f"/{i}", f"{large}<article><p>Short {i}{i}{i}.</p></article>") for i in range(2)]
+    assert {r.main.text for r in html_extract.extract(pages_frame(spark, pages)).collect()} == {"Short 000.", "Short 111."}
+
+
 def test_articles_keep_shared_lines(spark):
     page = "<nav>Menu</nav><article><p>Quoted by both.</p><p>Own {}</p><p>And more of {} here.</p></article>"
     frame = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i, i)) for i in (1, 2)], "page_id long, url string, html string")
@@ -133,8 +164,10 @@ def test_common_subsequence(monkeypatch):
         assert len(places) == longest(a, b) and is_common(a, b, places)
     monkeypatch.setattr(html_extract, "ALIGN_BITS", 20)
     for _ in range(200):
-        a, b = ([rng.randint(0, 5) for _ in range(15)] for _ in range(2))
-        assert is_common(a, b, html_extract.common_subsequence(a, b))
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        places = html_extract.common_subsequence(a, b)
+        # Halving makes the table smaller, not the subsequence.
+        assert is_common(a, b, places) and len(places) == longest(a, b)
 
 
 def test_op9_equals_sql(spark):
@@ -198,6 +231,24 @@ def test_whole_licences(spark):
     assert found[5].notices == ["CC-BY-NC-4.0", "MIT"] and found[4].notices == ["MIT"]
 
 
+def test_long_licences_by_digest(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0"}
+    files = {n: (folder / f).read_text() for f, n in names.items() if (folder / f).exists()}
+    if not files:
+        pytest.skip("no licence texts on this machine")
+    rows = [(n, how, t) for n, text in files.items() for how, t in (("whole", text), ("upper", text.upper()), ("longer", text + "\nmore"))]
+    bare = dict(licenses.KNOWN[:6])
+    rows += [(n, "whole", "Copyright 2001 Some One\n" + t) for n, t in bare.items() if n != "MIT"]
+    found = licenses.scan(spark.createDataFrame(rows, "name string, how string, text string")).collect()
+    assert all(r.license.license == (None if r.how == "longer" else r.name) for r in found)
+
+
+def test_a_known_text_that_no_scan_would_find_is_an_error(spark):
+    with pytest.raises(ValueError, match="Beer"):
+        licenses.scan(cases.documents(spark), known=[("Beer", "Buy me a drink some day.")])
+
+
 def test_licence_edge_cases(spark):
     docs = cases.documents(spark)
     assert licenses.scan(docs, out="_out").count() == docs.count()
