@@ -463,13 +463,14 @@ UNION ALL SELECT trace_id, handover_id, item_id, 'handover', 'UNSPECIFIED', us,
 
 
 # --- output chunks: one per document
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("doc_id")
-    observed = F.lit(BASE_US) + d * 1_000_000 + 500_000
+def chunks(spark: SparkSession, sf: str, later_us: int = 0) -> DataFrame:
+    """``later_us`` moves all times on."""
+    d, base = F.col("doc_id"), BASE_US + later_us
+    observed = F.lit(base) + d * 1_000_000 + 500_000
     stream = S.lookup(d % 3, {0: "stdout", 1: "stderr"}, F.lit("console"))
 
     def stamped(line: Column, i: Column) -> Column:
-        at = F.timestamp_micros(F.lit(BASE_US) + d * 1_000_000 + i)
+        at = F.timestamp_micros(F.lit(base) + d * 1_000_000 + i)
         clock = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z "))
         return F.concat(F.when(d % 11 == 0, "").when(d % 13 == 0, "2026 ").otherwise(clock), line)
 

@@ -9,6 +9,7 @@ from telelake.checks import fixtures as X
 from telelake.checks.functions import OBSERVED, digest_observations
 from telelake.functions import scalars as S
 from telelake.operators import changes, correlate, dependencies, layers, normalize, output, routing, schedule, slots
+from telelake.session import materialize
 from telelake.sources import ingest
 
 NOW_S = 1_704_067_200 + 400  # the capture window ends inside the fixture's first minutes
@@ -54,6 +55,21 @@ def output_marks(spark: SparkSession, sf: str) -> DataFrame:
     return output.advance_marks(marks, read, NOW_S)
 
 
+def output_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Three captures in a row over all output, each from the marks of the one before; the windows grow with the data."""
+    parsed = materialize(output.capture(X.chunks(spark, sf)), "parsed")
+    last = X.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]
+    marks, windows = capture_marks(spark, sf).limit(0), []
+    for number in (1, 2, 3):
+        now_s = X.BASE_US // 1_000_000 + last * number // 3 + 2
+        read = output.increment(parsed, marks, now_s)
+        # A capture keeps its marks: the next one starts from what is stored.
+        marks = materialize(output.advance_marks(marks, read, now_s), "marks")
+        windows.append(read.select(F.lit(number).alias("window"), "service", "chunk_id", "line_no"))
+    kept = marks.select(F.lit(0), "service", F.col("mark"), F.lit(-1))
+    return windows[0].union(windows[1]).union(windows[2]).union(kept)
+
+
 def output_tail(spark: SparkSession, sf: str) -> DataFrame:
     rows = normalize.container_output(X.output_events(spark, sf))
     return X.plain(output.tail(rows, 5)).select("service", "timestamp", "sequence", "message")
@@ -357,6 +373,7 @@ QUERIES = {
         output_sequence,
         output_increment,
         output_marks,
+        output_windows,
         output_tail,
         output_replay,
         route_join,
@@ -420,6 +437,17 @@ ORACLES = {
     "output_increment": f"WITH {_INCREMENT} SELECT service, chunk_id, line_no, timestamp_us FROM inc",
     "output_marks": f"""WITH {_INCREMENT} SELECT service, CASE WHEN service IN (SELECT service FROM inc) THEN {NOW_S - 1} ELSE mark END AS mark
       FROM m WHERE mark IS NOT NULL OR service IN (SELECT service FROM inc)""",
+    "output_windows": f"""WITH {X.C}, p AS (SELECT *, timestamp_us // 1000000 AS s FROM parsed),
+      b AS (SELECT unnest([1, 2, 3]) AS n, {X.BASE_US // 1_000_000} + (SELECT max(doc_id) FROM documents) * unnest([1, 2, 3]) // 3 + 1 AS top),
+      t AS (SELECT max(top) FILTER (n = 1) AS t1, max(top) FILTER (n = 2) AS t2, max(top) FILTER (n = 3) AS t3 FROM b),
+      r1 AS (SELECT p.* FROM p, t WHERE s <= t1),
+      m1 AS (SELECT DISTINCT service, t1 AS mark FROM r1, t),
+      r2 AS (SELECT p.* FROM p CROSS JOIN t LEFT JOIN m1 USING (service) WHERE s <= t2 AND s >= coalesce(mark, 0)),
+      m2 AS (SELECT service, max(mark) AS mark FROM (SELECT * FROM m1 UNION ALL SELECT service, t2 FROM r2, t) GROUP BY service),
+      r3 AS (SELECT p.* FROM p CROSS JOIN t LEFT JOIN m2 USING (service) WHERE s <= t3 AND s >= coalesce(mark, 0)),
+      m3 AS (SELECT service, max(mark) AS mark FROM (SELECT * FROM m2 UNION ALL SELECT service, t3 FROM r3, t) GROUP BY service)
+      SELECT 1 AS "window", service, chunk_id, line_no FROM r1 UNION ALL SELECT 2, service, chunk_id, line_no FROM r2
+      UNION ALL SELECT 3, service, chunk_id, line_no FROM r3 UNION ALL SELECT 0, service, mark, -1 FROM m3""",
     "output_tail": f"""{_E}, o AS ({X.OUTPUT_ROWS}) SELECT service, timestamp, sequence, message FROM
       (SELECT *, row_number() OVER (PARTITION BY service ORDER BY timestamp DESC, sequence DESC) AS rn FROM o) WHERE rn <= 5""",
     "output_replay": f"""{_E}, o AS ({X.OUTPUT_ROWS}) SELECT service, timestamp, sequence,

@@ -73,11 +73,44 @@ def stream_output(spark: SparkSession, sf: str) -> DataFrame:
     return X.plain(tables.read(spark, root, "container-output"))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_restart, stream_digest, stream_output)}
+def stream_restart_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a table whose stream was stopped, fed the same lines again and restarted."""
+    staged, root, marks = (scratch_path(spark, p) for p in ("staged", "lake", "checkpoint"))
+    for _ in range(2):
+        envelope.stage(X.status_lines(spark, sf), staged)
+        _drain(stream_load.ingest_stream(spark, staged, root, marks, names=["status"], trigger=ONCE))
+    return X.plain(tables.read(spark, root, "status"))
+
+
+# How long a line may come again, and how much later the second capture's new lines are.
+REPEATS_WITHIN, LATER_US = "1 hour", 40 * 86_400_000_000
+
+
+def stream_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of a capture that drops repeats: in the second, every chunk comes again and new ones come later.
+
+    What comes again within the delay is known from the state, what is older is late; either way
+    it is not stored twice.
+    """
+    source, root, marks = (scratch_path(spark, p) for p in ("chunks", "lake", "checkpoint"))
+    again = X.chunks(spark, sf).withColumn("chunk_id", F.col("chunk_id") + (1 << 30))
+    later = X.chunks(spark, sf, LATER_US).withColumn("chunk_id", F.col("chunk_id") + (1 << 31))
+    for chunks in (X.chunks(spark, sf), again.union(later)):
+        chunks.write.mode("append").json(source)
+        query = stream_capture.output_stream(spark, source, root, marks, repeats_within=REPEATS_WITHIN, trigger=ONCE)
+        _drain({"output": query})
+    return X.plain(tables.read(spark, root, "container-output")).select("timestamp", "service", "stream", "message")
+
+
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_restart, stream_restart_rows, stream_digest, stream_output, stream_repeats)}
 ORACLES = {
     "stream_ingest": f"WITH {X.D} {X.DEPLOYMENT_ROWS}",
     "stream_restart": f"""WITH {X.E} SELECT CAST(make_timestamp(us) AS DATE) AS date, 2 * count(*) AS status_rows,
       count(*) AS cpu_rows FROM e GROUP BY ALL""",
+    "stream_restart_rows": f"""WITH {X.E}, s AS ({X.STATUS_ROWS}) SELECT * FROM s UNION ALL SELECT * FROM s""",
+    "stream_repeats": f"""WITH {X.C}, d AS (SELECT DISTINCT timestamp_us, service, stream, message FROM parsed)
+      SELECT timestamp_us AS timestamp, service, stream, message FROM d
+      UNION ALL SELECT timestamp_us + {LATER_US}, service, stream, message FROM d""",
     "stream_digest": BATCH["digest_changes"],
     "stream_output": f"""WITH {X.C} SELECT CAST(make_timestamp(timestamp_us) AS DATE) AS date, timestamp_us AS timestamp, service,
       service AS container_id, stream, message, chunk_id * 1048576 + line_no AS sequence FROM parsed""",

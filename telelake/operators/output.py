@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telelake.functions import scalars as S
-from telelake.plans.running import with_running
+from telelake.plans.running import numbered
 
 # Captured streams, line cap in bytes and truncation mark.
 STREAMS = ("stdout", "stderr")
@@ -68,15 +68,12 @@ def sequence(parsed: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
     """
     dated = parsed.withColumn("date", S.date_bucket(F.col("timestamp_us")))
     order = [F.col("timestamp_us"), F.col(chunk_id), F.col("line_no")]
-    numbered = with_running(
-        dated, ["service", "date"], order, sums={"_nth": F.lit(1).cast("bigint")}
-    )
-    return numbered.withColumn("sequence", F.col("_nth") - 1).drop("_nth")
+    return numbered(dated, ["service", "date"], order, "sequence")
 
 
-def to_rows(numbered: DataFrame) -> DataFrame:
+def to_rows(sequenced: DataFrame) -> DataFrame:
     """Rows of the ``container-output`` table; the container is known by its service name."""
-    return numbered.select(
+    return sequenced.select(
         "date",
         F.timestamp_micros("timestamp_us").alias("timestamp"),
         "service",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telelake.plans.running import with_running
+from telelake.plans.running import numbered, with_running
 
 FIRST_SLOT = 2
 RESERVED = (1,)
@@ -46,10 +46,9 @@ def assign_slots(
 
     one = F.lit(1).cast("bigint")
     # Used number u with j used numbers before it has u - first - j free numbers below.
-    ranked = with_running(taken, [], [F.col("slot")], sums={"_nth": one}, segments=segments)
-    gaps = ranked.select((F.col("slot") - first - (F.col("_nth") - 1)).alias("_at"))
-    queue = with_running(fresh, [], [F.col(order), F.col(key)], sums={"_nth": one}, segments=segments)
-    queue = queue.select(key, (F.col("_nth") - 1).alias("_at"))
+    ranked = numbered(taken, [], [F.col("slot")], "_before", segments)
+    gaps = ranked.select((F.col("slot") - first - F.col("_before")).alias("_at"))
+    queue = numbered(fresh, [], [F.col(order), F.col(key)], "_at", segments).select(key, "_at")
 
     # A waiting key passes every used number whose free count is at most its own rank.
     absent = F.lit(None).cast(keys.schema[key].dataType)

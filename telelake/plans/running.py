@@ -35,6 +35,36 @@ def in_segments(
     return stored.withColumn(SEGMENT, F.shiftright(POSITION, _ROW_BITS))
 
 
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, segments: int | None = None
+) -> DataFrame:
+    """Add ``name``: the number, from 0, of each row among those with the same ``keys``, along ``order``.
+
+    Rows move once. Inside a segment a number is a difference of positions; one row per
+    segment and key, of which all but one per segment begin and end there, says how many
+    rows of the key come before.
+    """
+    rows = in_segments(df, keys, order, segments)
+    seg_keys = [SEGMENT, *keys]
+    parts = rows.groupBy(*seg_keys).agg(F.count(F.lit(1)).alias("_n"), F.min(POSITION).alias("_first"))
+    earlier = (
+        Window.partitionBy(*(keys or [F.lit(0)]))
+        .orderBy(SEGMENT)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # Where a key begins its segment, number and position of a row differ by what came before.
+    starts = parts.select(
+        *[F.col(k).alias(f"_c{k}") for k in seg_keys],
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+    )
+    match = F.lit(True)
+    for key in seg_keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"_c{key}"))
+    # As many rows as keys and segments: the engine measures whether to broadcast them.
+    joined = rows.join(starts, match).withColumn(name, F.col(POSITION) + F.col("_shift"))
+    return joined.drop(*[f"_c{k}" for k in seg_keys], "_shift", SEGMENT, POSITION)
+
+
 def with_running(
     df: DataFrame,
     keys: Sequence[str],

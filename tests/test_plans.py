@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from telelake.plans.running import with_running
+from telelake.plans.running import numbered, with_running
 
 
 def observations(count=3000, seed=5):
@@ -52,3 +52,18 @@ def test_running_values_backwards(spark):
         state[key] = v if v is not None else state.get(key)
         expected[i] = state[key]
     assert found == expected
+
+
+@pytest.mark.parametrize("segments", [1, 3, 16])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_numbers(spark, segments, keyed):
+    rows = observations()
+    df = spark.createDataFrame(rows, "i int, key string, at int, v int").repartition(5)
+    got = numbered(df, ["key"] if keyed else [], [F.col("at"), F.col("i")], "n", segments)
+    assert sorted(got.columns) == ["at", "i", "key", "n", "v"]
+    expected, state = {}, {}
+    for i, key, _, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        expected[i] = state.get(key if keyed else 0, 0)
+        state[key if keyed else 0] = expected[i] + 1
+    assert {r.i: r.n for r in got.collect()} == expected
+    assert numbered(df.limit(0), ["key"], [F.col("at")], "n", segments).collect() == []
