@@ -321,16 +321,18 @@ def partners(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     one = hashed.groupBy("host", "path").agg(F.min("hashes").alias("hashes"))
     one = store(one.withColumn("digest", F.xxhash64("hashes")), "html-lines")
     # Equal pages of a host stand in order once, at the least of their paths.
-    single = store(one.groupBy("host", "digest").agg(F.min("path").alias("path")), "html-paths")
+    paths = one.groupBy("host", "digest").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("equal"))
     # Only paths are put in order; the lines join the chosen neighbour afterwards.
-    paths = single.select("host", "path")
     with_last = with_running(paths, ["host"], [F.asc("path")], before={"last": F.col("path")})
     both = with_running(with_last, ["host"], [F.desc("path")], before={"next": F.col("path")})
     own, last, following = F.col("path"), F.col("last"), F.col("next")
     earlier = following.isNull() | (_common_prefix(own, last) >= _common_prefix(own, following))
-    near = both.select("host", "path", F.when(last.isNotNull() & earlier, last).otherwise(following).alias("near"))
-    of_equal = single.join(near, ["host", "path"]).select("host", "digest", "near")
-    every = one.select("host", "path", "digest").join(of_equal, ["host", "digest"]).select("host", "path", "near")
+    chosen = F.when(last.isNotNull() & earlier, last).otherwise(following).alias("near")
+    near = store(both.select("host", "path", "digest", "equal", chosen), "html-near")
+    # Copies share the neighbour of the page that stands for them.
+    shared = near.where("equal > 1").select("host", "digest", F.col("path").alias("first"), "near")
+    copies = one.select("host", "path", "digest").join(shared, ["host", "digest"]).where("path <> first")
+    every = near.select("host", "path", "near").unionByName(copies.select("host", "path", "near"))
     lines = one.select("host", F.col("path").alias("near"), "hashes")
     return every.join(lines, ["host", "near"]).select("host", "path", "hashes")
 
@@ -341,8 +343,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     A null or empty page gives an empty text. A page without a URL, or alone on its host,
     has no partner, so only markup decides. Addresses that differ in scheme or fragment are
     one page, of which one version is compared with others. Ties between two neighbours go
-    to the earlier path.
-    Repeated rows give equal results and an empty table stays empty.
+    to the earlier path. Repeated rows give equal results and an empty table stays empty.
     """
     kept = [c for c in (pages.columns if columns is None else columns) if c.lower() != out.lower()]
     mark = fresh("html")
