@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from telelake.checks import fixtures as X
 from telelake.operators import normalize
 from telelake.session import scratch_path
-from telelake.sources import envelope, ingest, maintenance, tables
+from telelake.sources import catalog, envelope, ingest, maintenance, tables
 from telelake.streaming import ingest as stream_load
 
 
@@ -236,6 +237,26 @@ def pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
     return X.plain(tables.read_date(spark, root, "status", "2024-01-15"))
 
 
+def catalog_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Both layouts under names: written by name and by path, read by SQL for one date."""
+    rows = ingest.table_rows(X.status_lines(spark, sf), "status")
+    parts = []
+    for label, date_only in (("by service", ()), ("by date", ("status",))):
+        root = scratch_path(spark, "lake")
+        database = f"lake_{uuid.uuid4().hex}"
+        name = catalog.register(spark, root, database, ["status"], date_only)["status"]
+        catalog.insert(rows, root, database, "status")
+        tables.append(rows, root, "status")
+        catalog.refresh(spark, database, ["status"])
+        parts.append(
+            spark.sql(
+                f"SELECT '{label}' AS layout, service, state, count(*) AS rows FROM {name}"
+                " WHERE date = DATE'2024-01-15' GROUP BY service, state"
+            )
+        )
+    return parts[0].union(parts[1])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -256,6 +277,7 @@ QUERIES = {
         maintain,
         apply_retention,
         pruned_scan,
+        catalog_tables,
     )
 }
 
@@ -313,5 +335,7 @@ ORACLES = {
     "compact": f"""{_E}, s AS ({X.STATUS_ROWS}) SELECT service, date, state, 3 * count(*) AS rows, CAST(0 AS INTEGER) AS again FROM s GROUP BY ALL""",
     "maintain": f"{_E}, s AS ({X.STATUS_ROWS}) SELECT date, 2 * count(*) AS rows FROM s WHERE date >= DATE '2024-01-18' GROUP BY date",
     "apply_retention": f"{_E}, s AS ({X.STATUS_ROWS}) SELECT * FROM s WHERE date >= DATE '2024-01-18'",
+    "catalog_tables": f"""{_E}, s AS ({X.STATUS_ROWS}) SELECT layout, service, state, 2 * count(*) AS rows
+      FROM s, (SELECT unnest(['by service', 'by date']) AS layout) WHERE date = DATE '2024-01-15' GROUP BY ALL""",
     "pruned_scan": f"{_E}, s AS ({X.STATUS_ROWS}) SELECT * FROM s WHERE date = DATE '2024-01-15'",
 }

@@ -216,13 +216,8 @@ def laid_out(df: DataFrame, name: str, partitions: tuple) -> DataFrame:
     return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *within)
 
 
-def append(
-    df: DataFrame, root: str, name: str, fmt: str = DEFAULT_FORMAT, by_date_only: bool | None = None
-) -> None:
-    """Append complete rows; a row that breaks the non-null contract fails the write.
-
-    The layout is the recorded one; ``by_date_only`` is for tables that nobody has created.
-    """
+def conformed(df: DataFrame, name: str) -> DataFrame:
+    """Rows with the table's columns and types; evaluating an incomplete one is an error."""
     table = TABLES[name]
     missing = missing_columns(df, table.required)
     guard = F.when(
@@ -230,13 +225,22 @@ def append(
     )
     first = table.required[0]
     guarded = df.withColumn(first, F.when(guard.isNull(), df[first]))
-    conformed = guarded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema])
+    return guarded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema])
+
+
+def append(
+    df: DataFrame, root: str, name: str, fmt: str = DEFAULT_FORMAT, by_date_only: bool | None = None
+) -> None:
+    """Append complete rows; a row that breaks the non-null contract fails the write.
+
+    The layout is the recorded one; ``by_date_only`` is for tables that nobody has created.
+    """
     if by_date_only is None:
         partitions = recorded_layout(df.sparkSession, root, name)
     else:
         ensure_table(df.sparkSession, root, name, fmt, by_date_only)
         partitions = layout(name, by_date_only)
-    writer = laid_out(conformed, name, partitions).write.format(fmt).mode("append")
+    writer = laid_out(conformed(df, name), name, partitions).write.format(fmt).mode("append")
     writer.partitionBy(*partitions).save(table_uri(root, name))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from telelake.checks import fixtures as X
 from telelake.operators import normalize
 from telelake.session import materialize, remove_scratch, scratch_path, shared_dir
-from telelake.sources import envelope, ingest, maintenance, tables
+from telelake.sources import catalog, envelope, ingest, maintenance, tables
 from telelake.streaming import changes as stream_changes
 from telelake.streaming import ingest as stream_load
 from telelake.streaming import output as stream_capture
@@ -456,3 +456,26 @@ def test_date_only_layout_end_to_end(spark, tmp_path):
     assert sorted(map(str, tables.read(spark, streamed, "status").select(columns).collect())) == expected
     one = tables.read_date(spark, root, "status", "2024-01-15")
     assert "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_names_prune_and_guard(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = ingest.table_rows(X.status_lines(spark, SF), "status")
+    tables.append(rows, root, "status", by_date_only=True)
+    names = catalog.register(spark, root, "named", ["status", "container-output"])
+    assert names["container-output"] == "`named`.`container_output`"
+    # What was there is kept, in its own layout.
+    assert spark.table(names["status"]).count() == rows.count()
+    catalog.insert(rows, root, "named", "status")
+    assert spark.table(names["status"]).count() == 2 * rows.count() == tables.read(spark, root, "status").count()
+    one = spark.sql(f"SELECT state FROM {names['status']} WHERE date = DATE'2024-01-15'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "ReadSchema: struct<state:string>" in plan
+    with pytest.raises(Exception, match="null in container_id"):
+        catalog.insert(rows.withColumn("container_id", F.lit(None).cast("string")), root, "named", "status")
+    assert spark.sql(f"SHOW PARTITIONS {names['status']}").count() > 0
+    # Partitions that come by path are known after a refresh.
+    tables.append(rows.withColumn("date", F.lit("2031-01-01").cast("date")), root, "status")
+    catalog.refresh(spark, "named", ["status"])
+    assert spark.sql(f"SELECT * FROM {names['status']} WHERE date = DATE'2031-01-01'").count() == rows.count()
+    assert catalog.register(spark, root, "named", ["status"]) == {"status": names["status"]}
