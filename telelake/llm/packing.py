@@ -212,10 +212,11 @@ def pieces(
     """Token pieces of every document: its ids and then ``end``, cut at ``capacity``.
 
     A null or empty text is the piece that holds ``end`` alone. Only documents of more
-    than ``capacity`` ids are cut. A null ``doc_id`` stays null, repeated rows give their
-    pieces again, an empty table gives none. ``with_ids`` adds the ids themselves.
+    than ``capacity`` ids are cut. A null ``doc_id`` stays null and ids keep their type, repeated rows
+    give their pieces again, an empty table gives none. ``with_ids`` adds the ids themselves.
     """
-    schema = PIECES_IDS if with_ids else PIECES
+    kind = docs.schema[doc_id].dataType
+    schema = StructType([StructField("doc_id", kind), *(PIECES_IDS if with_ids else PIECES).fields[1:]])
     closing = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def pieces(
             for part in groups(batch, "text"):
                 ids = [b + closing for b in encoder.encode(texts_of(part.column("text")))]
                 rows: list[tuple] = []
-                for doc, raw in zip(part.column("doc_id").to_pylist(), ids, strict=True):
+                for doc, raw in enumerate(ids):
                     for number, start in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[start : start + 4 * capacity]
                         rows.append((doc, number, start // 4, len(cut) // 4, zlib.crc32(cut)))
@@ -236,6 +237,7 @@ def pieces(
                         strict=True,
                     )
                 ]
+                columns[0] = part.column("doc_id").take(columns[0])
                 if with_ids:
                     flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                     offsets = np.r_[0, np.cumsum([r[3] for r in rows])].astype(np.int32)
@@ -243,5 +245,5 @@ def pieces(
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(kind))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return arrow_step(chosen, run, schema)

@@ -147,3 +147,10 @@ def test_packing_edge_cases(spark, library):
     )
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
     assert packing.pack(packing.pieces(cases.empty(spark), PATH), "length").count() == 0
+
+
+def test_pieces_keep_the_type_of_ids(spark):
+    docs = spark.createDataFrame([("a-1", "some words " * 9000), (None, None), ("b", "")], "doc_id string, text string")
+    rows = packing.pieces(docs, PATH).collect()
+    assert sorted((r.doc_id or "", r.piece) for r in rows) == [("", 0), *[("a-1", n) for n in range(len(rows) - 2)], ("b", 0)]
+    assert len(rows) > 5
