@@ -168,4 +168,4 @@ def sql() -> str:
       p AS (SELECT *, CAST({sql_shard(layout(SHARDS))} AS INTEGER) AS shard,
         CAST({sql_shard(layout(SHARDS + 1))} AS INTEGER) AS grown_shard FROM s)
       SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-        row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM p"""
+        row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM p"""
