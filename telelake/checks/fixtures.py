@@ -14,22 +14,28 @@ from pyspark.sql import types as T
 
 from telelake.functions import scalars as S
 from telelake.session import materialize, use_utc
+from telelake.sources.tables import exists
 
 BASE_US = 1_704_067_200_000_000  # 2024-01-01 00:00 UTC
 SPAN_US = 30 * 86_400_000_000  # trace dates are folded into thirty days
 SERVICES = 8
 
 
-# Stored fixtures by application, folder and name.
-_stored: dict[tuple, DataFrame] = {}
+# Stored fixtures and one of the files of each, by application, folder and name.
+_stored: dict[tuple, tuple[DataFrame, str | None]] = {}
 
 
 def once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A fixture that many checks start from: derived by the first, read by the others."""
+    """A fixture that many checks start from: derived by the first, read by the others.
+
+    Somebody may have cleared the scratch folder meanwhile; then it is derived again.
+    """
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _stored:
-        _stored[key] = materialize(make(), name, keep=True)
-    return _stored[key]
+    found, file = _stored.get(key, (None, None))
+    if found is None or (file and not exists(spark, file)):
+        found = materialize(make(), name, keep=True)
+        _stored[key] = found, next(iter(found.inputFiles()), None)
+    return found
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

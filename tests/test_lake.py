@@ -479,3 +479,16 @@ def test_catalog_names_prune_and_guard(spark, tmp_path):
     catalog.refresh(spark, "named", ["status"])
     assert spark.sql(f"SELECT * FROM {names['status']} WHERE date = DATE'2031-01-01'").count() == rows.count()
     assert catalog.register(spark, root, "named", ["status"]) == {"status": names["status"]}
+
+
+def test_shared_fixtures_survive_a_cleared_scratch_folder(spark):
+    made = []
+    def make():
+        made.append(1)
+        return spark.range(5).toDF("n")
+    for _ in range(2):
+        assert X.once(spark, "nowhere", "probe", make).count() == 5
+    remove_scratch(spark)
+    assert X.once(spark, "nowhere", "probe", make).count() == 5 and len(made) == 1
+    remove_scratch(spark, kept=True)
+    assert X.once(spark, "nowhere", "probe", make).count() == 5 and len(made) == 2
