@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from telelake.checks import fixtures as X
+from telelake.checks import ingest as checks
 from telelake.sources import envelope
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,8 @@ def test_staging_does_not_sort(spark, tmp_path):
     )
     envelope.stage(mixed, str(tmp_path / "mixed"))
     assert envelope.scan_staged(spark, str(tmp_path / "mixed")).exceptAll(mixed).count() == 0
+
+def test_lines_to_be_staged_are_not_stored_before(spark):
+    X._stored.clear()
+    checks.all_lines(spark, SF).select("file").distinct().collect()
+    assert not X._stored
