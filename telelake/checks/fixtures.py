@@ -6,38 +6,18 @@ plays (a broken line, an absent field), never whether it takes part.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telelake.functions import scalars as S
-from telelake.session import materialize, use_utc
-from telelake.sources.tables import exists
+from telelake.session import use_utc
 
 BASE_US = 1_704_067_200_000_000  # 2024-01-01 00:00 UTC
 SPAN_US = 30 * 86_400_000_000  # trace dates are folded into thirty days
 SERVICES = 8
 
 
-# Stored fixtures and one of the files of each, by application, folder and name.
-_stored: dict[tuple, tuple[DataFrame, str | None]] = {}
-
-
-def once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A fixture that many checks start from: derived by the first, read by the others.
-
-    Somebody may have cleared the scratch folder meanwhile; then it is derived again.
-    """
-    key = (spark.sparkContext.applicationId, sf, name)
-    found, file = _stored.get(key, (None, None))
-    if found is None or (file and not exists(spark, file)):
-        found = materialize(make(), name, keep=True)
-        _stored[key] = found, next(iter(found.inputFiles()), None)
-    return found
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table; one that Spark reads in fewer tasks than there are cores is spread out."""
     use_utc(spark)
@@ -55,6 +35,11 @@ def stored(line: Column) -> Column:
     return F.explode(F.array(line)).alias("value")
 
 
+def as_stored(rows: DataFrame, line: Column, file: Column) -> DataFrame:
+    """``(value, file)``; the line is a column first, where parts that it repeats are made once."""
+    return rows.select(line.alias("value"), file.alias("file")).select(stored(F.col("value")), "file")
+
+
 def folded(column: str) -> Column:
     return F.lit(BASE_US) + micros(column) % SPAN_US
 
@@ -149,7 +134,7 @@ def deployment_lines(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(line)
     )
     file = F.when(number % 50 == 0, "other.jsonl").otherwise("deployments.jsonl")
-    return source.select(stored(value), file.alias("file"))
+    return as_stored(source, value, file)
 
 
 D = (
@@ -195,7 +180,7 @@ def status_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines_of(source: DataFrame, variant: str, file: str) -> DataFrame:
-    return source.select(stored(envelope(variant, source.columns)), F.lit(file).alias("file"))
+    return as_stored(source, envelope(variant, source.columns), F.lit(file))
 
 
 def status_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,10 +276,6 @@ OUTPUT_ROWS = """SELECT CAST(make_timestamp(us) AS DATE) AS date, us AS timestam
 
 # --- log requests: one per event; an error carries a second record with nested values
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, sf, "log-requests", lambda: new_log_lines(spark, sf))
-
-
-def new_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     k, i, u, kind = F.col("k"), F.col("event_id"), F.col("user_id"), F.col("event_type")
     named = '{"key":"service.name","value":{"stringValue":"«s»"}}'
     resource = (
@@ -342,7 +323,7 @@ def new_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     records = F.concat(first, F.when(kind == "error", second).otherwise(""))
     line = text('{"LogBatch":{"resourceLogs":[{«r»"scopeLogs":[{"logRecords":[«l»]}]}]}}', r=resource, l=records)
-    return events(spark, sf).select(stored(line), F.lit("logs.jsonl").alias("file"))
+    return as_stored(events(spark, sf), line, F.lit("logs.jsonl"))
 
 
 L = (
@@ -383,10 +364,6 @@ def item_key(tail: str) -> Column:
 
 
 def span_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, sf, "span-requests", lambda: new_span_lines(spark, sf))
-
-
-def new_span_lines(spark: SparkSession, sf: str) -> DataFrame:
     o = F.col("o_orderkey")
     elsewhere = F.when(F.col("o_orderstatus") == "P", o + (1 << 50)).otherwise(o)
     start = folded("o_orderdate") * 1000
@@ -401,7 +378,7 @@ def new_span_lines(spark: SparkSession, sf: str) -> DataFrame:
         e=start + 3_600_000_000_000,
         p=F.col("o_orderpriority"),
     )
-    roots = table(spark, sf, "orders").select(stored(root), F.lit("traces.jsonl").alias("file"))
+    roots = as_stored(table(spark, sf, "orders"), root, F.lit("traces.jsonl"))
 
     number, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
     begin = folded("l_shipdate") * 1000 + 999
@@ -440,7 +417,7 @@ def new_span_lines(spark: SparkSession, sf: str) -> DataFrame:
         e=begin + 2_000_000,
     )
     line = text('{"SpanBatch":{"resourceSpans":[{"scopeSpans":[{"spans":[«i»,«h»]}]}]}}', i=item, h=handover)
-    items = table(spark, sf, "lineitem").select(stored(line), F.lit("traces.jsonl").alias("file"))
+    items = as_stored(table(spark, sf, "lineitem"), line, F.lit("traces.jsonl"))
     return roots.union(items)
 
 

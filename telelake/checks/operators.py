@@ -180,34 +180,35 @@ def assign_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- traces and logs
-def prepare(spark: SparkSession, sf: str) -> None:
-    """Store the fixtures that several checks share."""
-    spans(spark, sf)
-    log_rows(spark, sf)
+def spans(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Rows of the traces table; with ``columns`` these are stored, for readers that go over them more than once."""
+    rows = ingest.table_rows(X.span_lines(spark, sf), "traces")
+    return materialize(rows.select(*columns), "traces") if columns else rows
 
 
-def spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the traces table, stored: readers go over them more than once."""
-    return X.once(spark, sf, "traces", lambda: ingest.table_rows(X.span_lines(spark, sf), "traces"))
-
-
-def log_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return X.once(spark, sf, "logs", lambda: ingest.table_rows(X.log_lines(spark, sf), "logs"))
+def log_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Rows of the logs table, stored as those of :func:`spans`."""
+    rows = ingest.table_rows(X.log_lines(spark, sf), "logs")
+    return materialize(rows.select(*columns), "logs") if columns else rows
 
 
 def logs_with_spans(spark: SparkSession, sf: str) -> DataFrame:
-    joined = correlate.logs_with_spans(log_rows(spark, sf), spans(spark, sf), "left")
+    logs = log_rows(spark, sf, "timestamp", "service", "severity", "trace_id", "span_id")
+    # Stored, the engine knows how large they are before it chooses how to join.
+    named = spans(spark, sf, "trace_id", "span_id", "name", "kind", "duration_ms")
+    joined = correlate.logs_with_spans(logs, named, "left")
     return X.plain(joined).select(
         "timestamp", "service", "severity", "trace_id", "span_id", "span_name", "span_kind", "span_duration_ms"
     )
 
 
 def span_children(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.span_children(spans(spark, sf))
+    return correlate.span_children(spans(spark, sf, "trace_id", "span_id", "parent_span_id", "duration_ms"))
 
 
 def span_orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate.span_orphans(spans(spark, sf)).select("trace_id", "span_id", "parent_span_id", "name")
+    rows = spans(spark, sf, "trace_id", "span_id", "parent_span_id", "name")
+    return correlate.span_orphans(rows).select("trace_id", "span_id", "parent_span_id", "name")
 
 
 def attribute_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,7 +259,9 @@ def cron_runs(spark: SparkSession, sf: str) -> DataFrame:
     polls = X.events(spark, sf).select(
         X.text("job-«u»", u=F.col("user_id")).alias("service"), F.col("us").alias("poll_us")
     )
-    return schedule.cron_runs(cron_firings(spark, sf), polls)
+    # Only schedules that somebody polls are expanded.
+    polled = schedules(spark, sf).join(polls.select("service").distinct(), "service", "left_semi")
+    return schedule.cron_runs(schedule.cron_firings(polled, *HORIZON), polls)
 
 
 # --- configuration rules

@@ -5,8 +5,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from telelake import session
 from telelake.checks import fixtures as X
 from telelake.checks import ingest as checks
+from telelake.checks import operators
+from telelake.operators import schedule
+from telelake.plans import running
 from telelake.sources import envelope
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +21,7 @@ def stored_bytes(path):
 
 
 def test_staged_lines_are_stored_small_and_whole(spark, tmp_path):
-    lines = X.new_span_lines(spark, SF).union(X.status_lines(spark, SF))
+    lines = X.span_lines(spark, SF).union(X.status_lines(spark, SF))
     path = str(tmp_path / "staged")
     envelope.stage(lines, path)
     text = lines.agg(F.sum(F.length("value") + 1)).first()[0]
@@ -45,7 +49,46 @@ def test_staging_does_not_sort(spark, tmp_path):
     envelope.stage(mixed, str(tmp_path / "mixed"))
     assert envelope.scan_staged(spark, str(tmp_path / "mixed")).exceptAll(mixed).count() == 0
 
-def test_lines_to_be_staged_are_not_stored_before(spark):
-    X._stored.clear()
+def test_lines_are_not_stored_before_they_are_used(spark):
+    before = list(session._scratch) + list(session._kept)
     checks.all_lines(spark, SF).select("file").distinct().collect()
-    assert not X._stored
+    assert list(session._scratch) + list(session._kept) == before
+
+
+def test_queries_of_spans_take_nothing_from_each_other(spark):
+    """Each derives its spans, so that its figures are its own; read once, they are not stored at all."""
+    before = list(session._scratch) + list(session._kept)
+    assert operators.span_events_flat(spark, SF).count() > 0
+    assert operators.attribute_lookup(spark, SF).count() > 0
+    assert list(session._scratch) + list(session._kept) == before
+    operators.span_children(spark, SF)
+    assert not session._kept
+
+
+def test_plain_lines_do_not_nest(spark):
+    marks = lambda *values: spark.createDataFrame([(v,) for v in values], "value string").where(envelope.may_nest(F.col("value")))
+    assert marks('{"a":{"stringValue":"x","intValue":"1"}}').count() == 0
+    assert marks('{"arrayValue":{}}', '{"kvlistValue":{}}', '{"\\u0061rrayValue":{}}').count() == 3
+
+
+def test_an_expression_is_read_once(spark):
+    crons = F.element_at(F.array(F.lit("@daily"), F.lit("61 * * * * *"), F.lit(None)), (F.col("id") % 3 + 1).cast("int"))
+    rows = spark.range(300).select(F.col("id").cast("string").alias("service"), crons.alias("cron"))
+    assert schedule._expressions(rows, 0).count() == 3
+    assert schedule.cron_rejects(rows).count() == 200
+    assert schedule.cron_firings(rows, "2024-01-01", "2024-01-03").count() == 200
+
+
+def test_services_without_polls_are_not_sorted(spark, monkeypatch):
+    sorted_rows = []
+
+    def watched(df, *args, **options):
+        sorted_rows.append(df.count())
+        return running.with_running(df, *args, **options)
+
+    monkeypatch.setattr(schedule, "with_running", watched)
+    fired = spark.createDataFrame([(s, t) for s in ("a", "b", None) for t in range(100)], "service string, firing_us bigint")
+    polls = spark.createDataFrame([("a", 50), ("c", 1), (None, 99)], "service string, poll_us bigint")
+    found = {(r.service, r.poll_us) for r in schedule.cron_runs(fired, polls, segments=3).collect()}
+    assert found == {("a", 50), (None, 99)}
+    assert sorted_rows == [203]
