@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telelake.plans.running import with_running
+from telelake.session import materialize
 
 _BOUNDS = {
     "second": (0, 59),
@@ -90,9 +91,24 @@ def _parsed(schedules: DataFrame, first_weekday: int) -> DataFrame:
     return parsed.withColumn("_readable", F.coalesce(readable, F.lit(False)))
 
 
+def _expressions(schedules: DataFrame, first_weekday: int) -> DataFrame:
+    """Every expression that occurs, read once however many schedules share it.
+
+    Stored, so that the engine knows how few or many there are before it joins them.
+    """
+    return materialize(_parsed(schedules.select("cron").distinct(), first_weekday), "expressions")
+
+
+def _of_expressions(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their expressions; an absent one counts as an expression."""
+    found = found.withColumnRenamed("cron", "_cron")
+    return rows.join(found, F.col("cron").eqNullSafe(F.col("_cron")), how).drop("_cron")
+
+
 def cron_rejects(schedules: DataFrame, first_weekday: int = 0) -> DataFrame:
     """The rows of ``schedules`` whose expression cannot be read; they never fire."""
-    return _parsed(schedules, first_weekday).where(~F.col("_readable")).select(*schedules.columns)
+    unreadable = _expressions(schedules, first_weekday).where("not _readable").select("cron")
+    return _of_expressions(schedules, unreadable, "left_semi")
 
 
 def cron_firings(
@@ -111,16 +127,11 @@ def cron_firings(
     ``first_weekday`` is the number of Sunday; names of days mean the same in either
     numbering. Unreadable expressions fire never and are listed by :func:`cron_rejects`.
     """
-    parsed = _parsed(schedules, first_weekday)
-    # As a generator the fields are read once per schedule, not once per use.
-    held = F.explode(F.array(F.struct(*parsed.columns))).alias("_p")
-    parsed = parsed.select(held).select("_p.*").where("_readable")
+    parsed = _expressions(schedules, first_weekday).where("_readable")
 
     day = F.col("_date")
-    days = parsed.withColumn(
-        "_date",
-        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day"))),
-    ).where(
+    dates = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day")))
+    of_days = parsed.withColumn("_date", dates).where(
         F.array_contains("_day", F.dayofmonth(day))
         & F.array_contains("_month", F.month(day))
         & F.array_contains("_weekday", F.dayofweek(day) - 1 + first_weekday)
@@ -142,9 +153,12 @@ def cron_firings(
 
     # Clock changes move an hour by at most one; minutes are exact.
     midnight = local(F.lit(0), F.lit(0))
+    days = schedules.select("service", "cron", *windowed)
+    days = _of_expressions(days, of_days.select("cron", "_date"))
     days = overlapping(days, midnight, 24 * _HOUR_US, _HOUR_US)
-    # The rows are still few here; spread them before they multiply.
+    # The rows are still few and narrow here; spread them before they multiply.
     spread = days.repartition("service", "_date")
+    spread = _of_expressions(spread, parsed.select("cron", "_hour", "_minute", "_second"))
     hours = spread.withColumn("_h", F.explode("_hour"))
     hours = overlapping(hours, local(F.col("_h"), F.lit(0)), _HOUR_US, _HOUR_US)
     minutes = hours.withColumn("_m", F.explode("_minute"))
@@ -172,7 +186,9 @@ def cron_runs(firings: DataFrame, polls: DataFrame, segments: int | None = None)
     time, so no service is handled by one task.
     """
     nothing = F.lit(None).cast("bigint")
-    timeline = firings.select(
+    # Most services may have no polls at all; their firings would be sorted for nothing.
+    polled = polls.select(F.col("service").alias("_polled")).distinct()
+    timeline = firings.join(polled, F.col("service").eqNullSafe(F.col("_polled")), "left_semi").select(
         "service", F.col("firing_us").alias("_at"), F.lit(1).alias("_firing"), nothing.alias("_poll")
     ).union(
         polls.select("service", F.col("poll_us").alias("_at"), F.lit(0).alias("_firing"), F.col("poll_us").alias("_poll"))
