@@ -3,6 +3,7 @@
 import glob
 import os
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from telelake import session
@@ -12,6 +13,8 @@ from telelake.checks import operators
 from telelake.operators import schedule
 from telelake.plans import running
 from telelake.sources import envelope
+from telelake.streaming import output as capture
+from telelake.streaming.changes import label
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +95,18 @@ def test_services_without_polls_are_not_sorted(spark, monkeypatch):
     found = {(r.service, r.poll_us) for r in schedule.cron_runs(fired, polls, segments=3).collect()}
     assert found == {("a", 50), (None, 99)}
     assert sorted_rows == [203]
+
+
+def test_state_of_repeats_holds_no_long_messages(spark):
+    texts = ["", "a", "x" * 31, "x" * 32, "x" * 5000, "x" * 5001, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "message string")
+    kept = [r[0] for r in rows.select(capture.told(F.col("message"))).collect()]
+    assert [len(k) for k in kept if k is not None] == [0, 1, 31, 32, 32, 32]
+    assert len({bytes(k) for k in kept if k is not None}) == 6 and kept[-1] is None
+
+
+def test_labels_need_rows_alone():
+    seen = [Row(image="i", ts_us=t, digest=d) for t, d in ((3, "b"), (1, None), (2, "a"), (4, "b"), (None, None))]
+    found = [(r.ts_us, r.previous, r.outcome) for r in label(seen, False, None)]
+    assert found == [(1, None, "Baseline"), (2, None, "Updated"), (3, "a", "Updated"), (4, "b", "NotUpdated"), (None, "b", "Deleted")]
+    assert [r.outcome for r in label(seen[:1], True, "b")] == ["NotUpdated"]
