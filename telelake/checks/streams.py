@@ -96,7 +96,7 @@ def stream_repeats(spark: SparkSession, sf: str) -> DataFrame:
     again = X.chunks(spark, sf).withColumn("chunk_id", F.col("chunk_id") + (1 << 30))
     later = X.chunks(spark, sf, LATER_US).withColumn("chunk_id", F.col("chunk_id") + (1 << 31))
     for chunks in (X.chunks(spark, sf), again.union(later)):
-        chunks.write.mode("append").json(source)
+        chunks.write.mode("append").option("compression", "gzip").json(source)
         query = stream_capture.output_stream(spark, source, root, marks, repeats_within=REPEATS_WITHIN, trigger=ONCE)
         _drain({"output": query})
     return X.plain(tables.read(spark, root, "container-output")).select("timestamp", "service", "stream", "message")
