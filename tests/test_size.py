@@ -3,7 +3,7 @@
 import glob
 import os
 
-from pyspark.sql import Row
+from pyspark.sql import DataFrameWriter, Row
 from pyspark.sql import functions as F
 
 from telelake import session
@@ -41,10 +41,18 @@ def test_staging_holds_more_names_than_open_files(spark, tmp_path):
     assert envelope.scan_staged(spark, str(tmp_path)).count() == 400
 
 
-def test_staging_does_not_sort(spark, tmp_path):
-    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+def test_staging_does_not_sort(spark, tmp_path, monkeypatch):
+    """A task that may keep several files open holds no lines; the setting is back afterwards."""
+    setting, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.text
+
+    def watched(self, path, *args, **options):
+        seen.append(int(spark.conf.get(setting)))
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "text", watched)
+    before = spark.conf.get(setting)
     envelope.stage(X.status_lines(spark, SF), str(tmp_path))
-    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert spark.conf.get(setting) == before and seen[0] >= len(envelope.VARIANTS)
     # Sorted lines would be in the order of the names; as they come, parts keep the order of the input.
     mixed = spark.range(0, 100, 1, 1).select(
         F.col("id").cast("string").alias("value"), F.when(F.col("id") % 2 == 0, "b.jsonl").otherwise("a.jsonl").alias("file")
