@@ -118,3 +118,10 @@ def test_labels_need_rows_alone():
     found = [(r.ts_us, r.previous, r.outcome) for r in label(seen, False, None)]
     assert found == [(1, None, "Baseline"), (2, None, "Updated"), (3, "a", "Updated"), (4, "b", "NotUpdated"), (None, "b", "Deleted")]
     assert [r.outcome for r in label(seen[:1], True, "b")] == ["NotUpdated"]
+
+
+def test_lines_are_parsed_once_for_all_loads(spark):
+    for check in (checks.compact, checks.catalog_tables):
+        before = set(session._scratch)
+        check(spark, SF)
+        assert sum("/rows-" in path for path in set(session._scratch) - before) == 1
