@@ -1,7 +1,10 @@
 """What grows with the data: bytes stored on the way, rows that move, texts that are read again."""
 
 import glob
+import json
 import os
+import subprocess
+import sys
 
 from pyspark.sql import DataFrameWriter, Row
 from pyspark.sql import functions as F
@@ -16,7 +19,22 @@ from telelake.sources import envelope
 from telelake.streaming import output as capture
 from telelake.streaming.changes import label
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
+STAGING = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from telelake.checks import fixtures as X
+from telelake.sources import envelope
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true")
+         .config("spark.eventLog.dir", "file://{out}/events").config("spark.eventLog.rolling.enabled", "false")
+         .config("spark.eventLog.compress", "false").getOrCreate())
+lines = X.deployment_lines(spark, {sf!r}).union(X.status_lines(spark, {sf!r}))
+envelope.stage(lines, "{out}/staged")
+assert envelope.scan_staged(spark, "{out}/staged").count() == lines.count()
+spark.stop()
+"""
 
 
 def stored_bytes(path):
@@ -60,6 +78,20 @@ def test_staging_does_not_sort(spark, tmp_path, monkeypatch):
     envelope.stage(mixed, str(tmp_path / "mixed"))
     assert envelope.scan_staged(spark, str(tmp_path / "mixed")).exceptAll(mixed).count() == 0
 
+
+def test_tasks_that_stage_hold_no_lines(tmp_path):
+    """By the event log of a session of its own: tasks that write lines take no memory for sorting them."""
+    (tmp_path / "events").mkdir()
+    script = STAGING.format(root=ROOT, sf=SF, out=tmp_path)
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    (log,) = (tmp_path / "events").iterdir()
+    ended = [e["Task Metrics"] for e in map(json.loads, log.open()) if e["Event"] == "SparkListenerTaskEnd"]
+    writers = [t for t in ended if t["Output Metrics"]["Records Written"]]
+    assert sum(t["Output Metrics"]["Records Written"] for t in writers) == 2000
+    assert max(t["Peak Execution Memory"] for t in writers) == 0
+
+
 def test_lines_are_not_stored_before_they_are_used(spark):
     before = list(session._scratch) + list(session._kept)
     checks.all_lines(spark, SF).select("file").distinct().collect()
