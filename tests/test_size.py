@@ -16,6 +16,7 @@ from telelake.checks import operators
 from telelake.operators import schedule
 from telelake.plans import running
 from telelake.sources import envelope
+from telelake.streaming import ingest as stream_load
 from telelake.streaming import output as capture
 from telelake.streaming.changes import label
 
@@ -92,6 +93,21 @@ def test_tasks_that_stage_hold_no_lines(tmp_path):
     assert max(t["Peak Execution Memory"] for t in writers) == 0
 
 
+def test_a_micro_batch_has_a_bounded_number_of_lines(spark, tmp_path, monkeypatch):
+    """Parts are cut, so that the files of a trigger hold so many lines at most, however much is staged."""
+    monkeypatch.setattr(envelope, "PART_LINES", 100)
+    staged, root, marks = (str(tmp_path / p) for p in ("staged", "lake", "marks"))
+    lines = X.deployment_lines(spark, SF).repartition(2)
+    envelope.stage(lines, staged)
+    query = stream_load.ingest_stream(
+        spark, staged, root, marks, names=["deployments"], trigger={"availableNow": True}, maxFilesPerTrigger=3
+    )
+    assert stream_load.drain(query) == {"deployments": None}
+    read = [p.numInputRows for p in query["deployments"].recentProgress]
+    # Files of other names are passed over.
+    assert sum(read) == lines.where("file = 'deployments.jsonl'").count() and max(read) <= 300
+
+
 def test_lines_are_not_stored_before_they_are_used(spark):
     before = list(session._scratch) + list(session._kept)
     checks.all_lines(spark, SF).select("file").distinct().collect()
