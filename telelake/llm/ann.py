@@ -58,7 +58,12 @@ _SLACK = 1e-9
 _FOUND = StructType(
     [StructField("query", LongType(), False), StructField("class", LongType(), False), StructField("near", DoubleType(), False)]
 )
-_PACKETS = StructType([StructField("classes", BinaryType(), False), StructField("vectors", BinaryType(), False)])
+# Rows of packets are large: without these a reader holds a hundred of them at once.
+_SMALL_GROUPS = {
+    "parquet.block.size": 8 << 20,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.page.size.row.check.min": 1,
+}
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -212,16 +217,15 @@ def _found(queries: list, seen: list, near: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_FOUND.names)
 
 
-def checked(classes: DataFrame, bounds: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """Rows (query, class, near) of all blocks that may hold something nearer than ``bounds``.
+def _packets(rows: DataFrame, per_packet: int, label: str) -> DataFrame:
+    """Columns of ``rows`` as bytes, ``per_packet`` rows in their order to a row; stored, a few MB to a row group.
 
-    ``bounds`` has (query, vector, least): the score that a class must reach. Queries are
-    compared in tiles with packets of vectors in the order of one curve.
+    Vectors are scaled to length one, the other columns are numbers without nulls.
     """
-    width = classes.select(F.size("vector").alias("n")).first()
-    if width is None:
-        return classes.sparkSession.createDataFrame([], _FOUND)
-    per_packet = max(settings.block, settings.packet_bytes // (8 * width.n))
+    schema = StructType([StructField(c, BinaryType(), False) for c in rows.columns])
+
+    def taken(column: pa.Array, name: str) -> bytes:
+        return (_unit(_matrix(column)) if name == "vector" else column.to_numpy()).tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -230,43 +234,47 @@ def checked(classes: DataFrame, bounds: DataFrame, k: int, settings: Settings) -
                 for start in range(0, batch.num_rows, per_packet):
                     held.append(batch.slice(start, per_packet))
             while held and (batch is None or sum(b.num_rows for b in held) >= per_packet):
-                rows = pa.Table.from_batches(held).combine_chunks()
-                first = rows.slice(0, per_packet).combine_chunks().to_batches()[0]
-                held = [b for b in rows.slice(per_packet).to_batches() if b.num_rows]
-                vectors = _unit(_matrix(first.column("vector")))
+                whole = pa.Table.from_batches(held).combine_chunks()
+                first = whole.slice(0, per_packet).combine_chunks().to_batches()[0]
+                held = [b for b in whole.slice(per_packet).to_batches() if b.num_rows]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([first.column("class").to_numpy().tobytes()], pa.binary()),
-                        pa.array([vectors.tobytes()], pa.binary()),
-                    ],
-                    names=_PACKETS.names,
+                    [pa.array([taken(first.column(c), c)], pa.binary()) for c in schema.names], names=schema.names
                 )
 
+    return store(arrow_step(rows, packed, schema), label, **_SMALL_GROUPS)
+
+
+def checked(classes: DataFrame, bounds: DataFrame, k: int, settings: Settings) -> DataFrame:
+    """Rows (query, class, near) of all blocks that may hold something nearer than ``bounds``.
+
+    ``bounds`` has (query, vector, least): the score that a class must reach. Queries are
+    compared in tiles with packets of vectors in the order of one curve. Every tile meets every packet in a
+    cartesian product, which reads the stored ones again: no copies of them are shuffled or broadcast.
+    """
+    width = classes.select(F.size("vector").alias("n")).first()
+    if width is None:
+        return classes.sparkSession.createDataFrame([], _FOUND)
+    per_packet = max(settings.block, settings.packet_bytes // (8 * width.n))
     ordered = _keyed(classes.select("class", "vector"), [0], settings)
-    packets = store(arrow_step(ordered.select("class", "vector"), packed, _PACKETS), "ann-packets")
-    n_packets, n_queries = packets.count(), bounds.count()
-    tiles, salts = -(-n_queries // settings.tile) or 1, -(-n_packets // 2) or 1
-    # A tile holds about settings.tile queries by construction.
-    tiled = bounds.groupBy((F.pmod(F.xxhash64("query"), F.lit(tiles))).cast("int").alias("tile")).agg(
-        F.collect_list(F.struct("query", "vector", "least")).alias("asked")
-    )
-    many = tiled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = packets.withColumn("salt", F.pmod(F.xxhash64("classes"), F.lit(salts)).cast("int")).withColumn(
-        "tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    )
-    pairs = spread.join(many, ["tile", "salt"]).select("asked", "classes", "vectors")
+    packets = _packets(ordered.select("class", "vector"), per_packet, "ann-packets")
+    n_tiles = -(-bounds.count() // settings.tile) or 1
+    tiles = _packets(bounds.select("query", "least", "vector").repartition(n_tiles), settings.tile, "ann-tiles")
+    tiles = tiles.withColumnRenamed("vector", "wanted")
+    # Joins by a key might be planned as a broadcast of one side, by its size before it is multiplied.
+    pairs = packets.hint("shuffle_replicate_nl").crossJoin(tiles).select("query", "least", "wanted", "class", "vector")
     block, count = settings.block, k + 1
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Least score of each query of a tile; it grows with what the task has found.
+        reached: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                asked = batch.column("asked").slice(i, 1).flatten()
-                query = asked.field("query").to_numpy()
-                least = asked.field("least").to_numpy() - _SLACK
-                wanted = _unit(_matrix(asked.field("vector")))
-                number = np.frombuffer(batch.column("classes")[i].as_py(), np.int64)
-                unit = np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(len(number), -1)
-                queries, seen, near = [], [], []
+                tile, first, wanted, number, unit = (batch.column(c)[i].as_py() for c in range(5))
+                query, number = np.frombuffer(tile, np.int64), np.frombuffer(number, np.int64)
+                least = reached.setdefault(tile, np.frombuffer(first, np.float64) - _SLACK)
+                wanted = np.frombuffer(wanted, np.float64).reshape(len(query), -1)
+                unit = np.frombuffer(unit, np.float64).reshape(len(number), -1)
+                found = []
                 for start in range(0, len(number), block):
                     own = unit[start : start + block]
                     centre = own.mean(0)
@@ -281,19 +289,21 @@ def checked(classes: DataFrame, bounds: DataFrame, k: int, settings: Settings) -
                     if not len(may):
                         continue
                     scores = wanted[may] @ own.T
-                    for row, column in zip(*np.nonzero(scores >= least[may][:, None]), strict=True):
-                        queries.append(query[may[row]])
-                        seen.append(number[start + column])
-                        near.append(scores[row, column])
-                if queries:
-                    columns = (np.array(queries, np.int64), np.array(seen, np.int64), np.array(near, np.float64))
-                    # The best of the packet are enough.
-                    order = np.lexsort((-columns[2], columns[0]))
-                    columns = [c[order] for c in columns]
-                    begins = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
-                    for begin, end in zip(begins, [*begins[1:], len(order)], strict=True):
-                        kept = best(columns[2][begin:end], count) + begin
-                        yield _found([columns[0][kept]], [columns[1][kept]], [columns[2][kept]])
+                    row, column = np.nonzero(scores >= least[may][:, None])
+                    found.append((may[row], start + column, scores[row, column]))
+                if not any(len(f[0]) for f in found):
+                    continue
+                at, seen, near = (np.concatenate(c) for c in zip(*found, strict=True))
+                # The best of the packet are enough: the count-th of a query and all that tie with it.
+                order = np.lexsort((-near, at))
+                at, seen, near = at[order], seen[order], near[order]
+                begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                sizes = np.diff(np.r_[begins, len(at)])
+                last = near[begins + np.minimum(sizes, count) - 1] - _SLACK
+                kept = near >= np.repeat(last, sizes)
+                full = sizes >= count
+                least[at[begins[full]]] = np.maximum(least[at[begins[full]]], last[full])
+                yield _found([query[at[kept]]], [number[seen[kept]]], [near[kept]])
 
     return arrow_step(pairs, compare, _FOUND)
 

@@ -150,6 +150,26 @@ def test_search_is_exact(spark, small):
         assert [g[2] for g in got] == pytest.approx([n[1] for n in near], abs=1e-12)
 
 
+def test_no_copies_of_queries_are_broadcast(spark, tmp_path):
+    """Tiles meet packets without a hash table, which would hold each query once for every packet."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist(), i % 9 == 0) for i, v in enumerate(rng.normal(size=(90, 8)))]
+    spark.createDataFrame(rows, "class long, vector array<double>, asked boolean").write.parquet(str(tmp_path / "classes"))
+    classes = spark.read.parquet(str(tmp_path / "classes"))
+    bounds = classes.where("asked").select(F.col("class").alias("query"), "vector", F.lit(-2.0).alias("least"))
+    more = ann.checked(classes, bounds, 3, ann.Settings(block=4, packet_bytes=256, tile=3))
+    plan = more._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    found: dict = {}
+    for r in more.collect():
+        found.setdefault(r.query, []).append((r.near, r["class"]))
+    vectors = np.array([v for _, v, _ in rows])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert sorted(found) == list(range(0, 90, 9))
+    for query, near in found.items():
+        assert {c for _, c in sorted(near)[-4:]} == set(np.argsort(vectors @ vectors[query])[-4:].tolist())
+
+
 def test_windows_alone_on_clusters(spark):
     """Where vectors cluster the curves alone reach a recall of 0.9."""
     rng = np.random.default_rng(2)
